@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, packing, quality, sharding, tokencount
+from . import ann, decontaminate, langid, licenses, packing, quality, repeats, sharding, tokencount
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,6 +59,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "sentence_ids", F.array_join("licences", ",").alias("licences"), F.size("licences").cast("long").alias("n_licences"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_shard": op7_shard,
+    "op8_repeats": op8_repeats,
     "op9_nearest": op9_nearest,
     "op10_licenses": op10_licenses,
 }
