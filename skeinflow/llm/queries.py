@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, packing, quality, repeats, sharding, tokencount
+from . import ann, decontaminate, jaccard, langid, licenses, packing, quality, repeats, sharding, tokencount
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +31,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.classes(_read(spark, sf_dir, "documents"), k=3, percent=90)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -71,6 +76,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
+    "op3_jaccard": op3_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
