@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, one row for each piece."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [

@@ -50,17 +50,16 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     """__lane, __doc, __source, __n, __ids (unsigned 16-bit where all ids fit, told by __wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        enc, last = encoder(tokenizer), np.array([end], "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                blobs = [b + last for b in enc.ids([t or "" for t in part.column("text").to_pylist()])]
                 n, wide, small = [], [], []
-                for b in blobs:
-                    ids = np.frombuffer(b, "<u4")
+                for t in part.column("text").to_pylist():
+                    ids = np.concatenate([enc.ids(t or ""), last])
                     n.append(len(ids))
-                    wide.append(bool(len(ids)) and int(ids.max()) > 0xFFFF)
-                    small.append(b if wide[-1] else ids.astype("<u2").tobytes())
+                    wide.append(int(ids.max()) > 0xFFFF)
+                    small.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("lane"), part.column("doc"), part.column("source"), pa.array(n, pa.int64()), pa.array(wide, pa.bool_()), pa.array(small, pa.binary())], names=["__lane", "__doc", "__source", "__n", "__wide", "__ids"])
 
     narrow = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(lanes)).cast("int").alias("lane"), F.col(doc_id).cast("long").alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
