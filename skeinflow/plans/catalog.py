@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import q_corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**q_corpus.QUERIES}
+ORACLES: dict[str, str] = {**q_corpus.ORACLES}
