@@ -20,11 +20,11 @@ def split_scopes(runs: DataFrame, partition: list[str], scope: str) -> DataFrame
 
 
 def paired_durations(events: DataFrame, key: str, order: list[str], event: str, ts: str, start: str, stop: str) -> DataFrame:
-    """key, start_ts, seconds: each stop with the start before it where nothing of either kind lies between (phases that aren't nested)."""
+    """key, start_ts, micros: each stop with the start before it where nothing of either kind lies between (phases that aren't nested)."""
     w = W.partitionBy(key).orderBy(*order)
     both = events.filter(F.col(event).isin(start, stop))
     before = both.withColumns({"was": F.lag(event).over(w), "since": F.lag(ts).over(w)})
-    return before.filter((F.col(event) == stop) & (F.col("was") == start)).select(key, F.col("since").alias("start_ts"), (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("since"))).alias("micros"))
+    return before.filter((F.col(event) == stop) & (F.col("was") == start)).select(key, F.col("since").alias("start_ts"), F.timestamp_diff("MICROSECOND", F.col("since"), F.col(ts)).alias("micros"))
 
 
 def nested_durations(events: DataFrame, key: str, order: list[str], event: str, ts: str, start: str, stop: str) -> DataFrame:
@@ -34,7 +34,7 @@ def nested_durations(events: DataFrame, key: str, order: list[str], event: str,
     depth = both.withColumn("step", F.when(F.col(event) == start, 1).otherwise(-1)).withColumn("after", F.sum("step").over(w)).withColumn("depth", F.when(F.col("step") == 1, F.col("after")).otherwise(F.col("after") + 1))
     level = W.partitionBy(key, "depth").orderBy(*order)
     paired = depth.withColumns({"was": F.lag(event).over(level), "since": F.lag(ts).over(level)})
-    return paired.filter((F.col(event) == stop) & (F.col("was") == start)).select(key, F.col("since").alias("start_ts"), (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("since"))).alias("micros"))
+    return paired.filter((F.col(event) == stop) & (F.col("was") == start)).select(key, F.col("since").alias("start_ts"), F.timestamp_diff("MICROSECOND", F.col("since"), F.col(ts)).alias("micros"))
 
 
 def islands(rows: DataFrame, partition: list[str], order: str, starts: str) -> DataFrame:

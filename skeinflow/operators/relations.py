@@ -47,7 +47,7 @@ def decisions(targets: DataFrame, rows: DataFrame) -> DataFrame:
 
 def context(requested: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all units of each requested unit's group in request order, unknown requests); requested: ordinal, unit_key; index: unit_key, group_id, unit_ordinal."""
-    groups = requested.join(index.select("unit_key", "group_id"), "unit_key").select("ordinal", "group_id")
+    groups = requested.join(index.select("unit_key", "group_id"), "unit_key").select("ordinal", "group_id").distinct()
     found = groups.join(index.select(F.col("group_id"), F.col("unit_key").alias("member"), "unit_ordinal"), "group_id").select("ordinal", "group_id", "member", "unit_ordinal")
     return found, requested.join(index, "unit_key", "left_anti")
 

@@ -124,8 +124,8 @@ def task_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 TASK_IDS = f"""WITH {_UNITS}, {_STATE},
 m AS (SELECT source_text, kind, count(DISTINCT current) AS d, min(ord) FILTER (needs) AS rep FROM f0 GROUP BY source_text, kind),
 o AS (SELECT ord // 1000000 AS block, ord, (current IS NULL AND needs AND d <> 1 AND ord = rep)::INT AS asks FROM f0 JOIN m ON m.source_text = f0.source_text AND m.kind = f0.kind),
-w AS (SELECT *, sum(asks) OVER (PARTITION BY block ORDER BY ord) - 1 AS k, max(asks) OVER (PARTITION BY block) AS some FROM o)
-SELECT block, ord, CASE WHEN asks = 1 THEN k::BIGINT END AS task_id FROM w WHERE some = 1"""
+w AS (SELECT *, sum(asks) OVER (PARTITION BY block ORDER BY ord) - 1 AS k, max(asks) OVER (PARTITION BY block) AS asked FROM o)
+SELECT block, ord, CASE WHEN asks = 1 THEN k::BIGINT END AS task_id FROM w WHERE asked = 1"""
 
 
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def term_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TERM_OCCURRENCES = f"""WITH {_UNITS}, t(term) AS (VALUES ('anan'), ('thth'), ('enen'), ('esas'))
-SELECT kind, term, sum(len(list_filter(range(1, length(source_text)::BIGINT + 1), lambda i: substr(source_text, i, 4) = term)))::BIGINT AS occurrences FROM u0, t WHERE contains(source_text, term) GROUP BY kind, term"""
+SELECT kind, term, sum(CASE WHEN contains(source_text, term) THEN len(list_filter(range(1, length(source_text)::BIGINT + 1), lambda i: substr(source_text, i, 4) = term)) ELSE 0 END)::BIGINT AS occurrences FROM u0, t GROUP BY kind, term"""
 
 
 def term_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ def candidate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidate = (
         F.when(case == 0, F.slice("lines", F.lit(1), F.size("lines") - 1)).when(case == 1, F.transform("lines", lambda x: F.concat(x, F.lit("\n"))))
         .when(case == 2, F.transform("lines", lambda x: F.concat(x, F.lit("﻿")))).when(case == 3, F.transform("lines", lambda x: F.when(x.isNotNull(), "x")))
-        .when(case == 4, F.transform("lines", lambda x: F.when(x.isNotNull(), ""))).otherwise("lines")
+        .when(case == 4, F.transform("lines", lambda x: F.when(x.isNotNull(), ""))).otherwise(F.col("lines"))
     )
     verdict = validate.candidate_violation(F.col("lines"), candidate, F.col("group_id") % 2 == 0)
     return g.groupBy(case.cast("int").alias("edit"), F.coalesce(verdict, F.lit("ok")).alias("verdict")).agg(F.count("*").alias("n"))
