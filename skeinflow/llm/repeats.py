@@ -45,7 +45,7 @@ from .textarrays import BASE, INVERSE, SPACE_WORD, Words, grams, mix, slices
 WINDOW = 20
 ANCHOR = 8
 #: Segments of an anchor in one group, and segments compiled at a time.
-GROUP, COMPILED = 5_000, 2_000
+GROUP, COMPILED = 500, 2_000
 SLICE = 4_000_000
 _NONE = -(1 << 63)
 
