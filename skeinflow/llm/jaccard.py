@@ -45,6 +45,7 @@ CHUNKS = 16
 BLOCK = 4_000
 SALT_ROWS = 4_000
 SKETCH_BINS = 256
+FILTER_BITS = 1 << 24
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,7 +117,7 @@ def _count_table(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _indexer(sent, k: int, percent: int):
-    """doc_id, n, node, and the prefix in order (only where the set is the partition's first of its kind)."""
+    """doc_id, n, node, and the prefix in order with the sketch (only where the set is the partition's first of its kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -124,18 +125,21 @@ def _indexer(sent, k: int, percent: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, nodes, prefixes = [], [], []
+                n, nodes, prefixes, sketches = [], [], [], []
                 for _, s in shingle_sets(part.column("text"), k):
                     n.append(len(s))
                     if not len(s):
                         nodes.append(None)
                         prefixes.append(None)
+                        sketches.append(None)
                         continue
                     node = node_of(s)
                     nodes.append(node)
                     if node in seen:
                         prefixes.append(None)
+                        sketches.append(None)
                         continue
+                    sketches.append(sketch(s))
                     if len(seen) < 500_000:
                         seen.add(node)
                     size = len(s) - (percent * len(s) + 99) // 100 + 1
@@ -148,7 +152,7 @@ def _indexer(sent, k: int, percent: int):
                         some = np.arange(len(s))
                     some = some[np.lexsort((s[some], order[some]))]
                     prefixes.append(s[some].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n", "node", "prefix", "sketch"])
 
     return run
 
@@ -158,8 +162,8 @@ def _sets(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [s for _, s in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "set", "sketch"])
+                sets = [s for _, s in shingle_sets(part.column("text"), k) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     return run
 
@@ -187,19 +191,30 @@ def _comparer(percent: int):
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pivot, node, different, linked of distinct (pivot, node) pairs."""
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id) that may be among ids (id): by a bitmap of FILTER_BITS, which is broadcast, so that few others are shuffled."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    bitmap = ids.groupBy(F.floor(place("id") / 64).alias("word")).agg(F.bit_or(bit("id")).alias("bits"))
+    return docs.join(F.broadcast(bitmap), F.floor(place("doc_id") / 64) == F.col("word")).filter(F.col("bits").bitwiseAND(bit("doc_id")) != 0).drop("word", "bits")
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
+    """pivot, node, different, linked of distinct (pivot, node) pairs; first: node and the id of a document that has its set."""
+    wanted = pairs.select(F.explode(F.array("pivot", "node")).alias("v")).distinct()
+    ids = scratch.keep(first.join(wanted, F.col("node") == F.col("v"), "left_semi").select("node", "id"), "wanted")
+    texts = _only(docs, ids.select("id")).join(ids.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    sets = scratch.keep(texts.mapInArrow(_sets(k), "node long, set binary"), "sets").dropDuplicates(["node"])
     many = pairs.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     salted = pairs.join(many, F.col("pivot") == F.col("p")).select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
-    narrow = sets.select(F.col("node").alias("id"), "set")
     own = salted.select("pivot", F.col("pivot").alias("node"), "salt").distinct()
-    rows = salted.unionByName(own).join(narrow, F.col("node") == F.col("id")).select("pivot", "salt", "node", "set")
+    rows = salted.unionByName(own).join(sets.select(F.col("node").alias("id"), "set"), F.col("node") == F.col("id")).select("pivot", "salt", "node", "set")
     ordered = rows.repartition("pivot", "salt").sortWithinPartitions(F.col("pivot"), F.col("salt"), F.col("pivot") != F.col("node"))
     return scratch.keep(ordered.select("pivot", "node", "set").mapInArrow(_comparer(percent), "pivot long, node long, different long, linked boolean"), "compared")
 
 
-def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or sketch; entries in order of size."""
+def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: np.ndarray | None, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or (if given) sketch; entries in order of size."""
     left, right = [], []
     for i in range(len(n) - 1):
         # Sizes are sorted: entries too large for this one are skipped as a block.
@@ -215,9 +230,10 @@ def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray,
         known = (away[js] >= 0) & (away[i] >= 0) & (pivot[js] == pivot[i])
         fine &= ~(known & (np.abs(away[js] - away[i]) > most))
         js, most = js[fine], most[fine]
-        if len(js):
+        if len(js) and sketches is not None:
             differ = _NIBBLES[sketches[js] ^ sketches[i]].sum(axis=1, dtype=np.int64)
             js = js[differ <= most]
+        if len(js):
             left.append(np.full(len(js), i))
             right.append(js)
     if not left:
@@ -225,25 +241,35 @@ def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
+_ENTRY = ("tok", "b1", "b2", "node", "n", "pos", "label", "away", "pivot", "side")
+_ENTRY_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+_ENTRY_SCHEMA = "tok long, b1 int, b2 int, node long, n int, pos int, label long, away long, pivot long, side int"
+
+
+def _in_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The entries of one list (or pair of blocks) after another."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in names])
+
+    for _, members in groupby(rows(), key=lambda r: r[:3]):
+        yield sorted(members, key=lambda r: r[4])
+
+
 def _lister(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*[batch.column(c).to_pylist() for c in ("tok", "b1", "b2", "node", "n", "pos", "label", "away", "pivot", "side", "sketch")])
+    """The pairs of each list that sketches don't tell apart."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["pivot", "node"])
 
         pairs: set[tuple[int, int]] = set()
-        for _, members in groupby(rows(), key=lambda r: r[:3]):
+        for members in _in_lists(batches, (*_ENTRY, "sketch")):
             _, _, _, node, n, pos, label, away, pivot, side, sk = zip(*members)
-            order = np.argsort(np.array(n), kind="stable")
-            node = np.array(node)[order]
-            sketches = np.frombuffer(b"".join(sk), np.uint8).reshape(len(sk), -1)[order]
-            args = [np.array(x)[order] for x in (n, pos, label, away, pivot)]
-            for i, j in zip(*likely(*args, sketches, np.array(side)[order], percent)):
-                a, b = int(node[i]), int(node[j])
-                pairs.add((min(a, b), max(a, b)))
+            sketches = np.frombuffer(b"".join(sk), np.uint8).reshape(len(sk), -1)
+            for i, j in zip(*likely(*map(np.array, (n, pos, label, away, pivot)), sketches, np.array(side), percent)):
+                pairs.add((min(node[i], node[j]), max(node[i], node[j])))
             if len(pairs) > 50_000:
                 yield out(pairs)
                 pairs = set()
@@ -252,12 +278,34 @@ def _lister(percent: int):
     return run
 
 
+def _skipper(percent: int):
+    """The entries that size, position and distance leave with a possible partner in their list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*kept)) or [()] * len(_ENTRY)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ENTRY_TYPES)], names=list(_ENTRY))
+
+        for members in _in_lists(batches, _ENTRY):
+            _, _, _, _, n, pos, label, away, pivot, side = map(np.array, zip(*members))
+            i, j = likely(n, pos, label, away, pivot, None, side, percent)
+            kept += [members[x] for x in np.unique(np.concatenate([i, j])).tolist()]
+            if len(kept) > 50_000:
+                yield out()
+                kept = []
+        yield out()
+
+    return run
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n (size of the set), component (smallest id of the group) of every document."""
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_count_table(narrow.select("text"), k))  # COUNTERS numbers
-    index = scratch.keep(narrow.mapInArrow(_indexer(sent, k, percent), f"doc_id {kind}, n long, node long, prefix array<long>"), "index")
+    index = scratch.keep(narrow.mapInArrow(_indexer(sent, k, percent), f"doc_id {kind}, n long, node long, prefix array<long>, sketch binary"), "index")
 
     entries = index.filter(F.size("prefix") > 0).select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok")).repartition("tok")
     # All columns are used on both sides, so that both read one and the same exchange.
@@ -269,12 +317,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     may = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) >= need)
     stars = scratch.keep(lists.filter((F.col("node") != F.col("pivot")) & may).select("pivot", "node").distinct(), "stars")
 
-    wanted = lists.select(F.col("node").alias("v")).distinct()
-    first = index.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).join(wanted, F.col("node") == F.col("v"), "left_semi")
-    texts = narrow.join(first.select("node", F.col("d.doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    sets = scratch.keep(texts.dropDuplicates(["node"]).mapInArrow(_sets(k), "node long, set binary, sketch binary"), "sets")
-
-    near = _compare(stars, sets, percent)
+    first = index.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("id"))
+    near = _compare(stars, narrow, first, k, percent)
     links = near.filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
     labels = scratch.keep(connected_components(links), "labels")
 
@@ -290,13 +334,14 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("tok", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "node", "n", "pos", "label", "pivot",
                 F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.coalesce("away", F.lit(-1))).cast("long").alias("away"))
-        .join(sets.select(F.col("node").alias("id"), "sketch"), F.col("node") == F.col("id"))
-        .drop("id")
     )
-    pairs = rows.repartition("tok", "b1", "b2").sortWithinPartitions("tok", "b1", "b2").mapInArrow(_lister(percent), "pivot long, node long")
+    dealt = ["tok", "b1", "b2"]
+    may = rows.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_skipper(percent), _ENTRY_SCHEMA)
+    sketches = index.filter("sketch is not null").select(F.col("node").alias("id"), "sketch").dropDuplicates(["id"])
+    pairs = may.join(sketches, F.col("node") == F.col("id")).drop("id").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_lister(percent), "pivot long, node long")
     pairs = scratch.keep(pairs.distinct(), "pairs")
     if not pairs.isEmpty():
-        more = _compare(pairs, sets, percent).filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+        more = _compare(pairs, narrow, first, k, percent).filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
         found = scratch.keep(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
         label = found.select(F.col("node").alias("l"), "component")
 
