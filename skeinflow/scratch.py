@@ -15,15 +15,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, or a local one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    local = tempfile.mkdtemp(prefix="skeinflow-")
-    atexit.register(shutil.rmtree, local, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{local}")
-    return f"file://{local}"
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="skeinflow-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
