@@ -16,7 +16,7 @@ GROUP = "struct<id: string, kind: string, units: array<struct<id: string, text:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (below the root), raw of every .jsonl file; lower-case endings only."""
+    """path (below the root), raw of every .jsonl file with content; lower-case endings only."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root)
     # Spark's listing gives absolute URIs; the part below the root is the file's name in the project.
     tail = root.rstrip("/").rsplit("/", 1)[-1]
