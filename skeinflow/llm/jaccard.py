@@ -46,6 +46,8 @@ BLOCK = 4_000
 SALT_ROWS = 4_000
 SKETCH_BINS = 256
 FILTER_BITS = 1 << 24
+#: Pairs of two groups that are compared before the groups are looked at again; None: all.
+ROUNDS = (1, 16, None)
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -213,9 +215,9 @@ def _compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percen
     return scratch.keep(ordered.select("pivot", "node", "set").mapInArrow(_comparer(percent), "pivot long, node long, different long, linked boolean"), "compared")
 
 
-def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: np.ndarray | None, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or (if given) sketch; entries in order of size."""
-    left, right = [], []
+def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: np.ndarray | None, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or (if given) sketch, and the sketches' differences; entries in order of size."""
+    left, right, gap = [], [], []
     for i in range(len(n) - 1):
         # Sizes are sorted: entries too large for this one are skipped as a block.
         top = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
@@ -230,15 +232,17 @@ def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray,
         known = (away[js] >= 0) & (away[i] >= 0) & (pivot[js] == pivot[i])
         fine &= ~(known & (np.abs(away[js] - away[i]) > most))
         js, most = js[fine], most[fine]
+        differ = np.zeros(len(js), np.int64)
         if len(js) and sketches is not None:
             differ = _NIBBLES[sketches[js] ^ sketches[i]].sum(axis=1, dtype=np.int64)
-            js = js[differ <= most]
+            js, differ = js[differ <= most], differ[differ <= most]
         if len(js):
             left.append(np.full(len(js), i))
             right.append(js)
+            gap.append(differ)
     if not left:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(left), np.concatenate(right)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(gap)
 
 
 _ENTRY = ("tok", "b1", "b2", "node", "n", "pos", "label", "away", "pivot", "side")
@@ -261,15 +265,15 @@ def _lister(percent: int):
     """The pairs of each list that sketches don't tell apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["pivot", "node"])
+        def out(pairs: set[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1, 2)], names=["pivot", "node", "gap"])
 
-        pairs: set[tuple[int, int]] = set()
+        pairs: set[tuple[int, int, int]] = set()
         for members in _in_lists(batches, (*_ENTRY, "sketch")):
             _, _, _, node, n, pos, label, away, pivot, side, sk = zip(*members)
             sketches = np.frombuffer(b"".join(sk), np.uint8).reshape(len(sk), -1)
-            for i, j in zip(*likely(*map(np.array, (n, pos, label, away, pivot)), sketches, np.array(side), percent)):
-                pairs.add((min(node[i], node[j]), max(node[i], node[j])))
+            for i, j, gap in zip(*likely(*map(np.array, (n, pos, label, away, pivot)), sketches, np.array(side), percent)):
+                pairs.add((min(node[i], node[j]), max(node[i], node[j]), int(gap)))
             if len(pairs) > 50_000:
                 yield out(pairs)
                 pairs = set()
@@ -290,7 +294,7 @@ def _skipper(percent: int):
 
         for members in _in_lists(batches, _ENTRY):
             _, _, _, _, n, pos, label, away, pivot, side = map(np.array, zip(*members))
-            i, j = likely(n, pos, label, away, pivot, None, side, percent)
+            i, j, _ = likely(n, pos, label, away, pivot, None, side, percent)
             kept += [members[x] for x in np.unique(np.concatenate([i, j])).tolist()]
             if len(kept) > 50_000:
                 yield out()
@@ -338,13 +342,27 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     dealt = ["tok", "b1", "b2"]
     may = rows.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_skipper(percent), _ENTRY_SCHEMA)
     sketches = index.filter("sketch is not null").select(F.col("node").alias("id"), "sketch").dropDuplicates(["id"])
-    pairs = may.join(sketches, F.col("node") == F.col("id")).drop("id").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_lister(percent), "pivot long, node long")
+    pairs = may.join(sketches, F.col("node") == F.col("id")).drop("id").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_lister(percent), "pivot long, node long, gap long")
     pairs = scratch.keep(pairs.distinct(), "pairs")
-    if not pairs.isEmpty():
-        more = _compare(pairs, narrow, first, k, percent).filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
-        found = scratch.keep(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
-        label = found.select(F.col("node").alias("l"), "component")
+    # Groups only have to be joined once: the likeliest pairs of two groups are compared first, and
+    # what these join needs no more comparing.  The last round takes all that is left.
+    for share in ROUNDS:
+        at = lambda end: labels.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_group"))  # noqa: E731, B023
+        grouped = pairs.join(at("l"), F.col("pivot") == F.col("l_node"), "left").join(at("r"), F.col("node") == F.col("r_node"), "left")
+        ends = grouped.select("pivot", "node", "gap", F.coalesce("l_group", "pivot").alias("l"), F.coalesce("r_group", "node").alias("r")).filter("l != r")
+        pairs = scratch.keep(ends, "pairs")
+        if pairs.isEmpty():
+            break
+        pick = pairs
+        if share:
+            best = pairs.groupBy(F.least("l", "r"), F.greatest("l", "r"), F.pmod(F.xxhash64("pivot", "node"), F.lit(share))).agg(F.min(F.struct("gap", "pivot", "node")).alias("p"))
+            pick = best.select("p.*")
+        now = _compare(pick.select("pivot", "node").distinct(), narrow, first, k, percent)
+        more = now.filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+        labels = scratch.keep(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+        pairs = pairs.join(now.select("pivot", "node"), ["pivot", "node"], "left_anti").select("pivot", "node", "gap")
 
+    label = labels.select(F.col("node").alias("l"), "component")
     every = scratch.keep(index.select("doc_id", "n", "node").join(label, F.col("node") == F.col("l"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("label")), "classes")
     least = every.filter("label is not null").groupBy(F.col("label").alias("g")).agg(F.min("doc_id").alias("least"))
     return every.join(least, F.col("label") == F.col("g"), "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("component"))
