@@ -29,7 +29,7 @@ group's smallest id unless alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from .. import scratch
 from ..operators.components import connected_components
 from .textarrays import SPACE_WORD, Words, grams, mix, slices
 
-COUNTERS = 1 << 19
+COUNTERS = 1 << 21
 CHUNKS = 16
 BLOCK = 4_000
 SALT_ROWS = 4_000
@@ -101,14 +101,15 @@ def _count_table(docs: DataFrame, k: int) -> np.ndarray:
             for _, _, data, offsets in slices(batch.column("text")):
                 g = grams(Words(data, offsets, SPACE_WORD, lower=True).hashes(), k)
                 table += np.bincount((g & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = table.astype(np.uint32).reshape(CHUNKS, -1)
+        # A partition's count beyond 16 bits stays there: such a shingle is late in the order anyway.
+        parts = np.minimum(table, 0xFFFF).astype(np.uint16).reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                part = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
+                part = np.frombuffer(blob.as_buffer(), np.uint16).astype(np.int64)
                 sums[c] = sums[c] + part if c in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
@@ -304,6 +305,60 @@ def _skipper(percent: int):
     return run
 
 
+_LIST = ("tok", "node", "n", "pos", "pivot", "pn", "ppos")
+_LIST_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+
+
+def _sifter(percent: int):
+    """The entries of each list that have a partner of a near size and position in it; lists of more than BLOCK go through whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*[batch.column(c).to_pylist() for c in _LIST])
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*kept)) or [()] * len(_LIST)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _LIST_TYPES)], names=list(_LIST))
+
+        for _, entries in groupby(rows(), key=lambda r: r[0]):
+            members = list(islice(entries, BLOCK))
+            if len(members) < BLOCK:
+                members.sort(key=lambda r: r[2])
+                _, node, n, pos, _, _, _ = map(np.array, zip(*members))
+                alone = np.full(len(n), -1)
+                i, j, _ = likely(n, pos, node, alone, alone, None, alone, percent)
+                members = [members[x] for x in np.unique(np.concatenate([i, j])).tolist()]
+            kept += members
+            for r in entries:
+                kept.append(r)
+                if len(kept) > 50_000:
+                    yield out()
+                    kept.clear()
+            if len(kept) > 50_000:
+                yield out()
+                kept.clear()
+        yield out()
+
+    return run
+
+
+def _sketched(percent: int):
+    """The pairs (pivot, node, their sizes and sketches) that the sketches leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s1", "s2"))
+                sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("pn").to_numpy(zero_copy_only=False).astype(np.int64)
+                fine = _NIBBLES[a ^ b].sum(axis=1, dtype=np.int64) <= most_different(*sizes, percent)
+                yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node")], names=["pivot", "node"]).filter(pa.array(fine))
+
+    return run
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n (size of the set), component (smallest id of the group) of every document."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -314,12 +369,18 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     entries = index.filter(F.size("prefix") > 0).select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok")).repartition("tok")
     # All columns are used on both sides, so that both read one and the same exchange.
     pivots = entries.groupBy(F.col("tok").alias("t")).agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("last")).filter(F.col("p.node") < F.col("last"))
-    lists = scratch.keep(entries.join(pivots, F.col("tok") == F.col("t")).select("tok", "node", "n", "pos", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "lists")
+    met = entries.join(pivots, F.col("tok") == F.col("t")).select("tok", "node", "n", "pos", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    lists = scratch.keep(met.sortWithinPartitions("tok").mapInArrow(_sifter(percent), "tok long, node long, n int, pos int, pivot long, pn int, ppos int"), "lists")
 
     most = F.floor((100 - percent) * (F.col("n") + F.col("pn")) / (100 + percent))
     need = F.ceil((F.col("n") + F.col("pn") - most) / 2)
     may = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) >= need)
-    stars = scratch.keep(lists.filter((F.col("node") != F.col("pivot")) & may).select("pivot", "node").distinct(), "stars")
+    sketches = index.filter("sketch is not null").select(F.col("node").alias("id"), "sketch").dropDuplicates(["id"])
+    pairs = lists.filter((F.col("node") != F.col("pivot")) & may).select("pivot", "node", "n", "pn").distinct()
+    one = sketches.select(F.col("id").alias("id1"), F.col("sketch").alias("s1"))
+    two = sketches.select(F.col("id").alias("id2"), F.col("sketch").alias("s2"))
+    stars = pairs.join(one, F.col("pivot") == F.col("id1")).join(two, F.col("node") == F.col("id2")).select("pivot", "node", "n", "pn", "s1", "s2")
+    stars = scratch.keep(stars.mapInArrow(_sketched(percent), "pivot long, node long"), "stars")
 
     first = index.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("id"))
     near = _compare(stars, narrow, first, k, percent)
@@ -341,7 +402,6 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     )
     dealt = ["tok", "b1", "b2"]
     may = rows.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_skipper(percent), _ENTRY_SCHEMA)
-    sketches = index.filter("sketch is not null").select(F.col("node").alias("id"), "sketch").dropDuplicates(["id"])
     pairs = may.join(sketches, F.col("node") == F.col("id")).drop("id").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_lister(percent), "pivot long, node long, gap long")
     pairs = scratch.keep(pairs.distinct(), "pairs")
     # Groups only have to be joined once: the likeliest pairs of two groups are compared first, and
@@ -364,7 +424,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
 
     label = labels.select(F.col("node").alias("l"), "component")
     every = scratch.keep(index.select("doc_id", "n", "node").join(label, F.col("node") == F.col("l"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("label")), "classes")
-    least = every.filter("label is not null").groupBy(F.col("label").alias("g")).agg(F.min("doc_id").alias("least"))
+    # Written, so that a label of very many documents is a skewed join, which can be split.
+    least = scratch.keep(every.filter("label is not null").groupBy(F.col("label").alias("g")).agg(F.min("doc_id").alias("least")), "least")
     return every.join(least, F.col("label") == F.col("g"), "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("component"))
 
 
