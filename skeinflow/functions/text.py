@@ -58,3 +58,14 @@ def map_number(name: Column) -> Column:
 def stable_prefix_locks(path: Column) -> Column:
     """(prefix, access) of every prefix of a path: intent on the way, exclusive at the end."""
     return F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.struct(F.array_join(F.slice(path, F.lit(1), i), "/").alias("resource"), F.when(i == F.size(path), "exclusive").otherwise("intent").alias("access")))
+
+
+def state_digest(languages: tuple[str, str], ids: list[Column], source: Column, context: Column, bindings: Column, settings: list[Column], hits: Column) -> Column:
+    """Digest of everything that an automatic translation rests on: languages, ids, source, group context, bindings, settings and term hits."""
+    parts = [frame(1, F.lit(languages[0])), frame(2, F.lit(languages[1])), *[frame(3, i) for i in ids], frame(4, source), frame(5, context), frame(6, bindings), *[frame(7, s) for s in settings], frame_all(8, hits)]
+    return framed_digest(*parts)
+
+
+def manual_digest(group_id: Column, unit_id: Column, path: Column, kind: Column, source: Column) -> Column:
+    """Digest of what a manual translation applies to."""
+    return framed_digest(frame(1, group_id), frame(2, unit_id), frame(3, path), frame(4, kind), frame_all(5, source))
