@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
                         spans.append((full + t, size, a - low, begin + a - offset, b - a))
             for seq, size, off, first, n in spans:
                 raw = ids[first : first + n].tobytes()
-                for name, v in zip(OUT, (docs_[i], s, first, n, counts[i], (lane << 40) + seq, off, size, zlib.crc32(raw), raw if with_ids else None)):
+                for name, v in zip(OUT, (docs_[i], s, first, n, counts[i], (lane << 32) + seq, off, size, zlib.crc32(raw), raw if with_ids else None)):
                     out[name].append(v)
         return pa.table({k: pa.array(v, t) for (k, t), v in zip(OUT.items(), out.values())})
 
