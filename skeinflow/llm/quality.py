@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .textarrays import ALNUM_WORD, SPACE_WORD, Words, mix, powers, slices
 
-LABELLED, POOL = 6_000, 2_000
+LABELLED, POOL = 4_000, 1_000
 LEXICON = 20_000
 #: Least likelihood ratio of a lexicon feature.
 EVIDENCE = 20.0
+#: Least number of rows that have it.
+LEAST = 4
 ROUNDS, GROWTH, SURE = 3, 300, 0.97
 FOLDS = 4
 THRESHOLD = 0.5
@@ -137,7 +139,7 @@ def learn_lexicon(row: np.ndarray, key: np.ndarray, y: np.ndarray, known: np.nda
         lo = np.log((bad + 0.5) / (n_bad + 1)) - np.log((total - bad + 0.5) / (n - n_bad + 1))
         # The likelihood ratio of the feature's two shares against one common share.
         g = 2 * (_xlog(bad, total * n_bad / n) + _xlog(total - bad, total * (n - n_bad) / n))
-        odds[:, f] = np.where((g > EVIDENCE) & (total >= 4), lo, 0)
+        odds[:, f] = np.where((g > EVIDENCE) & (total >= LEAST), lo, 0)
         sure = np.maximum(sure, np.where(odds[:, f] != 0, g, 0))
     best = np.argsort(-sure, kind="stable")[:LEXICON]
     best = np.sort(best[sure[best] > 0])
@@ -280,14 +282,27 @@ def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
         r, k, x = features(data, offsets)
         for i, part in enumerate(np.split(k[np.argsort(r, kind="stable")], np.cumsum(np.bincount(r, minlength=len(x)))[:-1])):
             u = np.unique(part)
-            rows.append(np.full(len(u), first + i))
+            rows.append(np.full(len(u), first + i, np.int32))
             keys.append(u)
         ratios.append(x)
     if not ratios:
-        return np.zeros(0, int), np.zeros(0, np.uint64), np.zeros((0, RATIOS))
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, RATIOS))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(ratios)
 
 
+def _seen_often(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of features that LEAST rows or more have; the others can't be in a lexicon.  By ranges of the hash, to sort a little at a time."""
+    rows, keys = [], []
+    part = (key >> np.uint64(59)).astype(np.uint8)
+    for p in range(32):
+        k = key[part == p]
+        _, code, count = np.unique(k, return_inverse=True, return_counts=True)
+        often = count[code] >= LEAST
+        keys.append(k[often])
+        rows.append(row[part == p][often])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """A model from a bounded sample; None without labels."""
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("__l")).agg((F.min("quality") == 0).cast("int").alias("__low"), (F.max("toxic") == 1).cast("int").alias("__toxic"))
@@ -305,6 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None
     order = sample.sort_by([("d", "ascending")])
     row, key, ratios = distinct_features(order.column("t").combine_chunks())
+    row, key = _seen_often(row, key)
     meta = list(zip(order.column("s").to_pylist(), order.column("l").to_pylist(), order.column("n").to_pylist()))
     low, toxic = order.column("__low").to_pylist(), order.column("__toxic").to_pylist()
     has = np.array([v is not None for v in low])
