@@ -44,7 +44,6 @@ COUNTERS = 1 << 21
 CHUNKS = 16
 BLOCK = 4_000
 SALT_ROWS = 4_000
-SKETCH_BINS = 256
 FILTER_BITS = 1 << 24
 #: Pairs of two groups that are compared before the groups are looked at again; None: all.
 ROUNDS = (1, 16, None)
@@ -74,16 +73,54 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.array([a ^ mix(np.array([b + np.uint64(len(s))]))[0]], np.uint64)).view(np.int64)[0])
 
 
+def bins_of(n: int) -> int:
+    """Bins of a sketch of n shingles: a power of two, about half as many."""
+    return 1 << min(max(8, (n - 1).bit_length() - 1), 20)
+
+
 def sketch(s: np.ndarray) -> bytes:
-    """A 4-bit sum of the hashes in each of SKETCH_BINS ranges: where two sketches differ, the sets differ."""
-    edges = np.searchsorted(s, (np.arange(SKETCH_BINS, dtype=np.uint64) << np.uint64(56)))
+    """A 4-bit sum over the hashes in each of bins_of() ranges: where two sketches differ, the sets differ."""
+    count = bins_of(len(s))
+    shift = np.uint64(64 - count.bit_length() + 1)
+    edges = np.searchsorted(s, np.arange(count, dtype=np.uint64) << shift)
     total = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(mix(s), out=total[1:])
-    bins = total[np.append(edges[1:], len(s))] - total[edges]
-    nibble = ((mix(bins) & np.uint64(15)).astype(np.uint8)).reshape(-1, 2)
+    np.cumsum(mix(s) & np.uint64(15), out=total[1:])
+    nibble = ((total[np.append(edges[1:], len(s))] - total[edges]) & np.uint64(15)).astype(np.uint8).reshape(-1, 2)
     return (nibble[:, 0] << 4 | nibble[:, 1]).tobytes()
 
 
+def halved(sketches: np.ndarray) -> np.ndarray:
+    """The sketches (rows) with half as many bins: sums of neighbours."""
+    one = (((sketches >> 4) + (sketches & 15)) & 15).reshape(len(sketches), -1, 2)
+    return one[:, :, 0] << 4 | one[:, :, 1]
+
+
+class Sketches:
+    """Sketches of a list's entries, by their number of bins; sizes that may link have the same number or twice as many."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.size = np.array([len(b) for b in blobs])
+        self.place = np.zeros(len(blobs), int)
+        self.full, self.half = {}, {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.place[rows] = np.arange(len(rows))
+            self.full[size] = np.frombuffer(b"".join([blobs[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), size)
+        for size in self.full:
+            if size // 2 in self.full:
+                self.half[size] = halved(self.full[size])
+
+    def differ(self, i: int, js: np.ndarray) -> np.ndarray:
+        """A lower bound of the differences of entry i from entries of the same size or larger ones."""
+        out = np.zeros(len(js), np.int64)
+        mine = self.full[int(self.size[i])][self.place[i]]
+        for size, table in ((self.size[i], self.full), (self.size[i] * 2, self.half)):
+            at = np.flatnonzero(self.size[js] == size)
+            if len(at):
+                out[at] = _NIBBLES[table[int(size)][self.place[js[at]]] ^ mine].sum(axis=1, dtype=np.int64)
+        return out
+
+
 _NIBBLES = np.array([(i >> 4 != 0) + (i & 15 != 0) for i in range(256)], np.uint8)
 
 
@@ -216,7 +253,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percen
     return scratch.keep(ordered.select("pivot", "node", "set").mapInArrow(_comparer(percent), "pivot long, node long, different long, linked boolean"), "compared")
 
 
-def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: np.ndarray | None, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: Sketches | None, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or (if given) sketch, and the sketches' differences; entries in order of size."""
     left, right, gap = [], [], []
     for i in range(len(n) - 1):
@@ -235,7 +272,7 @@ def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray,
         js, most = js[fine], most[fine]
         differ = np.zeros(len(js), np.int64)
         if len(js) and sketches is not None:
-            differ = _NIBBLES[sketches[js] ^ sketches[i]].sum(axis=1, dtype=np.int64)
+            differ = sketches.differ(i, js)
             js, differ = js[differ <= most], differ[differ <= most]
         if len(js):
             left.append(np.full(len(js), i))
@@ -272,7 +309,7 @@ def _lister(percent: int):
         pairs: set[tuple[int, int, int]] = set()
         for members in _in_lists(batches, (*_ENTRY, "sketch")):
             _, _, _, node, n, pos, label, away, pivot, side, sk = zip(*members)
-            sketches = np.frombuffer(b"".join(sk), np.uint8).reshape(len(sk), -1)
+            sketches = Sketches(list(sk))
             for i, j, gap in zip(*likely(*map(np.array, (n, pos, label, away, pivot)), sketches, np.array(side), percent)):
                 pairs.add((min(node[i], node[j]), max(node[i], node[j]), int(gap)))
             if len(pairs) > 50_000:
@@ -350,11 +387,13 @@ def _sketched(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s1", "s2"))
-                sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("pn").to_numpy(zero_copy_only=False).astype(np.int64)
-                fine = _NIBBLES[a ^ b].sum(axis=1, dtype=np.int64) <= most_different(*sizes, percent)
-                yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node")], names=["pivot", "node"]).filter(pa.array(fine))
+            fine = []
+            n, pn = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "pn"))
+            most = most_different(n, pn, percent).tolist()
+            for a, b, m in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), most):
+                few = Sketches(sorted((a, b), key=len))
+                fine.append(bool(few.differ(0, np.array([1]))[0] <= m))
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node")], names=["pivot", "node"]).filter(pa.array(fine, pa.bool_()))
 
     return run
 

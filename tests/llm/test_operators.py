@@ -232,11 +232,12 @@ def test_classes_edges(edge, nothing):
 
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(3)
-    for n in (5, 60, 800):
+    for n in (5, 60, 530, 800, 3000):
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)]))
-        x, y = (np.frombuffer(jaccard.sketch(s), np.uint8) for s in (a, b))
-        assert jaccard._NIBBLES[x ^ y].sum() <= len(np.setxor1d(a, b))
+        for c in (b, b[: int(len(b) * 0.93)]):
+            both = sorted((jaccard.sketch(a), jaccard.sketch(c)), key=len)
+            assert jaccard.Sketches(both).differ(0, np.array([1]))[0] <= len(np.setxor1d(a, c))
 
 
 # --- 4 ---------------------------------------------------------------------
