@@ -231,12 +231,18 @@ def _comparer(percent: int):
     return run
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id) that may be among ids (id): by a bitmap of FILTER_BITS, which is broadcast, so that few others are shuffled."""
+def _bitmap(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs with __may: whether their id may be among ids (id), by a bitmap of FILTER_BITS, which is broadcast."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
-    bitmap = ids.groupBy(F.floor(place("id") / 64).alias("word")).agg(F.bit_or(bit("id")).alias("bits"))
-    return docs.join(F.broadcast(bitmap), F.floor(place("doc_id") / 64) == F.col("word")).filter(F.col("bits").bitwiseAND(bit("doc_id")) != 0).drop("word", "bits")
+    bitmap = ids.groupBy(F.floor(place(F.col("id")) / 64).alias("__word")).agg(F.bit_or(bit(F.col("id"))).alias("__bits"))
+    joined = docs.join(F.broadcast(bitmap), F.floor(place(docs[doc_id]) / 64) == F.col("__word"), "left")
+    return joined.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(bit(docs[doc_id])) != 0, F.lit(False))).drop("__word", "__bits")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id) that may be among ids (id), so that few others are shuffled."""
+    return _bitmap(docs, "doc_id", ids).filter("__may").drop("__may")
 
 
 def _compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
@@ -470,5 +476,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are in a group with a smaller id."""
-    found = classes(docs, k, percent, doc_id, text).filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("__gone"), "left_anti")
+    found = classes(docs, k, percent, doc_id, text).filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("id")).distinct()
+    gone = scratch.keep(found, "gone")
+    marked = _bitmap(docs, doc_id, gone)
+    # Only rows that may go are shuffled.
+    rest = marked.filter("__may").join(gone.withColumnRenamed("id", "__id"), F.col(doc_id) == F.col("__id"), "left_anti")
+    return marked.filter("not __may").unionByName(rest).select(*docs.columns)
