@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skeinflow import scratch
 from skeinflow.llm import decontaminate, jaccard, packing, quality, repeats
-from skeinflow.llm.queries import tokenizer_file
+from skeinflow.llm.queries import small_batches, tokenizer_file
 
 #: Near duplicates: five-word shingles and a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -21,17 +21,20 @@ SHINGLE, PERCENT = 5, 80
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds neither of low quality nor toxic."""
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter(quality.accepted()).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    small_batches(spark)
     return jaccard.keep_first(docs, SHINGLE, PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; those of which nothing is left go."""
+    small_batches(spark)
     cut = repeats.remove(docs)
     was_blank = F.trim(F.coalesce("text", F.lit(""))) == ""
     kept = cut.filter(~was_blank | (F.coalesce("n_chars", F.lit(0)) == F.length("text")) | F.col("text").isNull())
@@ -45,6 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, one row for each piece."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
