@@ -54,9 +54,8 @@ def directory(docs: DataFrame, max_bytes: int = MAX_BYTES, key: str = "doc_id",
         too_large = (F.col("b") > max_bytes) & (F.col("lo") != F.col("hi"))
         parents = levels.filter(too_large).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
         fit = levels.filter(~too_large)
-        found = fit.join(parents, ["depth", "prefix"], "left_semi")
-        if low == 0:
-            found = found.unionByName(fit.filter("depth = 0"))
+        # What fits at the first level of a pass has its parent, an oversized cell, in the pass before.
+        found = fit.join(parents, ["depth", "prefix"], "left_semi").unionByName(fit.filter(F.col("depth") == low))
         leaves = found if leaves is None else leaves.unionByName(found)
         over = cells.filter(too_large).select(F.col("prefix").alias("p"))
         if deep == BITS or over.isEmpty():

@@ -365,6 +365,21 @@ def test_shards_fit(spark, edge, nothing):
     assert sharding.assign(nothing, sharding.directory(nothing)).count() == 0
 
 
+def test_shards_of_later_passes(spark):
+    # A long text and a hot key (null ids) lie in cells with other rows, so that these are split in a second pass.
+    rows = [(i, "abcd") for i in range(5000)] + [(5000, "x" * 3000)] + [(None, "abcd")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = sharding.directory(df, 1000)
+    placed = sharding.assign(df, shards).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in placed) == collections.Counter(rows)
+    assert max(r["depth"] for r in placed) > 10 and shards.agg(F.sum("shard_rows")).first()[0] == len(rows)
+    size = collections.Counter()
+    for r in placed:
+        size[r["shard"]] += len(r["text"])
+    assert all(size[r["shard"]] == r["shard_bytes"] and (r["shard_bytes"] <= 1000 or r["oversized"]) for r in placed)
+    assert {r["doc_id"] for r in placed if r["oversized"]} == {5000, None}
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" * 50) for i in range(40)], "doc_id long, text string")
     sharding.write_shards(df, str(tmp_path / "out"), 500)
