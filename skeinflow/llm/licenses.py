@@ -1,26 +1,28 @@
 """Licence scans: sentences become licence-sentence identifiers, identifier sequences become licences.
 
-Texts are cut into sentences at line ends and at [.!?;:] before white space,
-normalised (A-Z lowered, runs of other characters than a-z and 0-9 made one
-space) and looked up in a fixed table of a few dozen sentences, which is
-broadcast.  Known sentences that follow one another directly make a sequence;
+Texts are cut at line ends and at [.!?;:] before white space, and the pieces
+are normalised (A-Z lowered, runs of other characters than a-z and 0-9 made one
+space).  A known sentence of the fixed table is a run of whole pieces: the ends
+of wrapped lines may lie between any two of its words, a sentence end only
+where the sentence itself has one (SPLITS), a blank line nowhere.  Where runs
+overlap, the earliest and then the longest counts.  Known sentences between
+which nothing lies but blank lines, marks and list numbers make a sequence;
 the ordered rules are tried on each sequence of a text, and what a rule matches
 is used up, so that a long rule comes before a short one.
 
 Defined results: null and empty texts and texts without known sentences get no
-identifiers and no licences; repeated rows each get their own result; a row's
-key is its id with a hash of its text.
+identifiers and no licences; repeated rows each get their own result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import ascii_lower
 
-CUT = r"[.!?;:]*[\n\r]+|[.!?;:]+[ \t]+"
-
 #: Identifiers of well-known licence sentences, as normalised.
 SENTENCES: dict[str, str] = {
     "mit_name": "the mit license",
@@ -62,6 +64,12 @@ SENTENCES: dict[str, str] = {
     "reserved": "all rights reserved",
 }
 
+#: Words of known sentences between which the licence's own text may have a sentence end.
+SPLITS = [("spdx license identifier", "mit"), ("spdx license identifier", "apache"), ("spdx license identifier", "gpl"), ("mozilla public license v", "2"), ("this program is free software", "you")]
+
+#: A number or letter in a list, as 1. or a.
+_MARK = "(?:[0-9]{1,2}|[a-h])"
+
 #: Ordered rules; each is a licence name and the identifiers that follow one another.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit_name", "mit_grant", "mit_notice", "as_is")),
@@ -101,18 +109,26 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+def pieces(text: Column) -> Column:
+    """The pieces as words with one space between, cut by B (blank lines), S (sentence end) or L (line end), which lowered texts don't have."""
+    # The closing bracket of a list number, as in 1) or (a), ends it as a full stop does.
+    bracket = rf"\)(?<=(?:^|[\n\r])[^a-z0-9\n\r]{{0,9}}{_MARK}\))(?=[ \t])"
+    out = F.regexp_replace(ascii_lower(text), rf"[.!?;:]+(?=[ \t\n\r])|{bracket}", "S")
+    for pattern, mark in [(r"\r\n?|\n", "L"), ("[^a-z0-9SL]+", " "), ("(?<![S ])[S ]*+L[S ]*+L[SL ]*+", "B"), ("(?<![SL ])[L ]*+S[SL ]*+", "S"), (" ?L ?", "L")]:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.trim(out)
 
 
-def identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None) -> DataFrame:
-    """__doc, __fp, position (from 0), sentence_id of every known sentence."""
-    known = docs.sparkSession.createDataFrame([(s, i) for i, s in (sentences or SENTENCES).items()], "sentence string, sentence_id string")
-    longest = max(map(len, (sentences or SENTENCES).values()))
-    cut = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__fp"), F.posexplode(F.split(ascii_lower(F.col(text)), CUT)).alias("position", "raw"))
-    # A normalised sentence is no longer than its raw form; far longer ones can only be separators.
-    rows = cut.filter(F.col("raw").rlike("[a-z0-9]")).select("__doc", "__fp", "position", normalised(F.col("raw")).alias("sentence"))
-    return rows.filter(F.length("sentence") <= longest).join(F.broadcast(known), "sentence").select("__doc", "__fp", "position", "sentence_id")
+def _known(sentences: dict[str, str]) -> str:
+    """A pattern of all known sentences, long ones first."""
+    tries = []
+    for s in sorted(sentences.values(), key=lambda s: (-len(s), s)):
+        x = re.escape(s).replace("\\ ", " ").replace(" ", "[ L]")
+        for left, right in SPLITS:
+            left, right = left.replace(" ", "[ L]"), right.replace(" ", "[ L]")
+            x = x.replace(f"{left}[ L]{right}", f"{left}[ LS]{right}")
+        tries.append(x)
+    return f"(?<=^|[BSL])(?:{'|'.join(tries)})(?=$|[BSL])"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: list[tuple[str, tuple[str, ...]]] | None = None, sentences: dict[str, str] | None = None) -> DataFrame:
@@ -120,23 +136,21 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: lis
 
     ``sentence_ids`` has known sentences in order, with ``|`` where others lie between.
     """
-    by_doc = identifiers(docs, doc_id, text, sentences).distinct().groupBy("__doc", "__fp").agg(F.array_sort(F.collect_list(F.struct("position", "sentence_id"))).alias("seq"))
-    joined = F.aggregate(
-        "seq",
-        F.struct(F.lit("").alias("s"), F.lit(-2).alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["s"], F.when((acc["at"] >= 0) & (x["position"] > acc["at"] + 1), "|,").otherwise(""), x["sentence_id"], F.lit(",")).alias("s"), x["position"].alias("at")),
-        lambda acc: acc["s"],
-    )
-    table = by_doc.select(F.col("__doc").alias("__d"), F.col("__fp").alias("__f"), joined.alias("seq"), F.concat(F.lit(","), F.replace(joined, F.lit(","), F.lit(",,")), F.lit(",")).alias("rest"))
+    known = sentences or SENTENCES
+    ids = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
+    # K stands before and after each known sentence, so that every other part is one.
+    parts = F.split(F.regexp_replace(pieces(F.col(text)), _known(known), "K$0K"), "K")
+    between = lambda part: F.when(F.regexp_replace(part, f"(?<=[BSL]){_MARK}(?=[BSL])|[BSL]", "") == "", "").otherwise("|,")
+    one = lambda part: F.concat(F.element_at(ids, F.translate(part, "LS", "  ")), F.lit(","))
+    inner = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))
+    every = docs.select(F.col(doc_id).alias("doc_id"), parts.alias("parts"))
+    joined = F.when(F.size("parts") > 1, F.array_join(F.transform(inner, lambda part, i: F.when(i % 2 == 0, one(part)).otherwise(between(part))), "")).otherwise("")
+    table = every.select("doc_id", joined.alias("seq"))
+    table = table.withColumn("rest", F.concat(F.lit(","), F.replace("seq", F.lit(","), F.lit(",,")), F.lit(",")))
     hits = []
     for i, (name, ids) in enumerate(rules or RULES):
         pattern = "".join(f",{x}," for x in ids)
         table = table.withColumn(f"r{i}", F.contains("rest", F.lit(pattern))).withColumn("rest", F.replace("rest", F.lit(pattern), F.lit(",#,")))
         hits.append(F.when(F.col(f"r{i}"), F.lit(name)))
-    table = table.select("__d", "__f", "seq", F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("names"))
-    every = docs.select(F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__fp"))
-    return every.join(table, every["__doc"].eqNullSafe(table["__d"]) & every["__fp"].eqNullSafe(table["__f"]), "left").select(
-        F.col("__doc").alias("doc_id"),
-        F.regexp_replace(F.coalesce("seq", F.lit("")), ",$", "").alias("sentence_ids"),
-        F.coalesce("names", F.array().cast("array<string>")).alias("licences"),
-    )
+    names = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    return table.select("doc_id", F.regexp_replace("seq", ",$", "").alias("sentence_ids"), names.alias("licences"))

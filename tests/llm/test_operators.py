@@ -492,3 +492,77 @@ def test_licences(spark, edge, nothing):
     assert licenses.scan(df).count() == 5
     assert licenses.scan(edge).filter(F.size("licences") > 0).count() == 0 and licenses.scan(edge).count() == len(edge_rows())
     assert licenses.scan(nothing).count() == 0
+
+
+def test_licences_of_wrapped_texts(spark):
+    mit = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+    comment = lambda text: "/*\r\n" + "".join(f" * {line}\r\n" for line in text.splitlines()) + " */"
+    texts = {
+        1: (mit, ["MIT"]),
+        2: (comment(mit), ["MIT"]),
+        3: (bsd, ["BSD-3-Clause"]),
+        4: (comment(bsd), ["BSD-3-Clause"]),
+        5: (bsd.replace("1. ", "(1) ").replace("2. ", "b) ").replace("3. ", "* "), ["BSD-3-Clause"]),
+        6: (gpl, ["GPL-3.0-or-later"]),
+        7: (comment(gpl.replace("software:", "software;")), ["GPL-3.0-or-later"]),
+        8: (mpl, ["MPL-2.0"]),
+        9: (mpl.replace("v. 2.0", "\nv. 2.0"), ["MPL-2.0"]),
+        10: ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        11: ("# SPDX-License-Identifier: Apache-2.0\n", ["Apache-2.0"]),
+        12: ("/* SPDX-License-Identifier: GPL-3.0-or-later */", ["GPL-3.0-or-later"]),
+        13: (isc, ["ISC"]),
+        14: ("Released under\n\nthe MIT. License", []),
+        15: ("Released under the. MIT License", []),
+        16: ("SPDX-License-Identifier: MIT-0\n", []),
+        17: (bsd.replace("2. ", "Another sentence. 2. "), []),
+        18: ("! " * 50_000 + "\n" + "1. " * 50_000 + "\r\n" * 50_000 + "Released under the MIT License!" + " \t" * 50_000, ["MIT"]),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert {i: r["licences"] for i, r in got.items()} == {i: want for i, (_, want) in texts.items()}
+    assert got[1]["sentence_ids"] == got[2]["sentence_ids"] == "mit_grant,mit_notice,as_is"
+    assert got[3]["sentence_ids"] == got[5]["sentence_ids"] == "bsd_grant,bsd_source,bsd_binary,bsd_name"
