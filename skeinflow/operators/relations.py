@@ -52,9 +52,23 @@ def context(requested: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFram
     return found, requested.join(index, "unit_key", "left_anti")
 
 
-def related(tokens: DataFrame, key: str, token: str, at_least: int = 2, limit: int = 1000) -> DataFrame:
-    """u, v, shared: keys with at least so many tokens in common; a token of more than ``limit`` keys relates none, being no evidence (a parameter of the relation)."""
+def related(tokens: DataFrame, key: str, token: str, at_least: int = 2) -> DataFrame:
+    """u, v, shared: all pairs of keys with at least so many tokens in common; a token of n keys makes n (n - 1) / 2 pairs (related_links makes n links)."""
     rows = tokens.select(F.col(key).alias("k"), F.col(token).alias("t")).distinct()
-    telling = rows.groupBy("t").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= limit)).select("t")
+    telling = rows.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").select("t")
     kept = rows.join(telling, "t", "left_semi")
     return kept.select("t", F.col("k").alias("u")).join(kept.select("t", F.col("k").alias("v")), "t").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("shared")).filter(F.col("shared") >= at_least)
+
+
+def related_links(tokens: DataFrame, key: str, token: str, at_least: int = 2) -> DataFrame:
+    """u, v: links with the same components as related()'s, without its pairs.
+
+    Keys that share a set of ``at_least`` tokens are linked to the smallest of them.  A key with m tokens has
+    m over ``at_least`` such sets, however many keys share them.
+    """
+    rows = tokens.select(F.col(key).alias("k"), F.col(token).alias("t")).filter("t is not null").distinct()
+    sets = rows.select("k", F.col("t").alias("last"), F.array("t").alias("set"))
+    for _ in range(at_least - 1):
+        sets = sets.join(rows, "k").filter("t > last").select("k", F.col("t").alias("last"), F.concat("set", F.array("t")).alias("set"))
+    least = sets.groupBy("set").agg(F.min("k").alias("u"), F.count("*").alias("n")).filter("n > 1").select("set", "u")
+    return sets.join(least, "set").select("u", F.col("k").alias("v")).filter("u < v").distinct()

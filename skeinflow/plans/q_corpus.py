@@ -312,7 +312,7 @@ def related_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts related by two shared words of their names and the same size, as components."""
     p = corpus.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.split("p_name", " ")).alias("w"))
     tokens = p.select("p_partkey", F.concat_ws("|", F.col("p_size").cast("string"), "w").alias("t"))
-    links = relations.related(tokens, "p_partkey", "t", 2)
+    links = relations.related_links(tokens, "p_partkey", "t", 2)
     found = connected_components(links)
     return found.groupBy("component").agg(F.count("*").alias("members"), F.max("node").alias("last"))
 

@@ -73,6 +73,16 @@ def test_related_and_coverage(spark):
     assert relations.coverage(t.select("k"), spark.range(2, 5).select(F.col("id").cast("int").alias("k")), "k").count() == 2
 
 
+def test_links_of_a_hot_token(spark):
+    # Token pairs h+g of 1200 keys, and tokens that are shared alone.
+    rows = [(k, t) for k in range(1200) for t in ("h", "g", f"own{k}")] + [(k, "h") for k in range(1200, 1300)] + [(2000, "x"), (2000, "y"), (2001, "x"), (2001, "y"), (2002, "y"), (2003, None), (2004, None)]
+    t = spark.createDataFrame(rows, "k int, t string")
+    got = {r["node"]: r["component"] for r in connected_components(relations.related_links(t, "k", "t")).collect()}
+    assert got == {**dict.fromkeys(range(1200), 0), 2000: 2000, 2001: 2000}
+    assert relations.related(t.filter("k < 1005"), "k", "t").count() == 1005 * 1004 // 2
+    assert sorted(tuple(r) for r in relations.related_links(t.filter("k > 1999"), "k", "t", 1).collect()) == [(2000, 2001), (2000, 2002)]
+
+
 def test_qa(spark):
     rows = spark.createDataFrame([("1", "pending", "a", None), ("2", "current", "say %1 now", "sag"), ("3", "current", "all fine", "gut")], "unit_key string, state string, source string, translation string")
     found = qa.findings(rows)
