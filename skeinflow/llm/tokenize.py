@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -18,6 +19,10 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space as in PATTERN, in runs too long for tiktoken's matcher, which gives up at about a million characters.
+SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100000,}")
+
+
 class Encoder:
     def __init__(self, path: str):
         if path.endswith(".tiktoken"):
@@ -25,7 +30,18 @@ class Encoder:
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self._one = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encoding = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+            def one(text: str) -> list[int]:
+                ids, at = [], 0
+                for run in SPACES.finditer(text):
+                    # The pattern takes a run, less its last character if a text follows, as one pre-token.
+                    end = run.end() - (run.end() < len(text))
+                    ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
+                    at = end
+                return ids + encoding.encode_ordinary(text[at:])
+
+            self._one = one
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer

@@ -110,6 +110,13 @@ def test_ids_like_the_library():
         assert fast.ids(text).tolist() == want == same.ids(text).tolist()
 
 
+def test_ids_of_long_white_space():
+    fast, same = tokenize.Encoder(tokenizer_file("byte_bpe_50k.tiktoken")), tokenize.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    run = " " * 1_000_100
+    for text in [run, f"a{run}b", f"a\n{run[:150_000]}\u3000\x1c{run[:120_000]}\t", f"{run[:100_000]}\n1 {run[:99_999]}x"]:
+        assert fast.ids(text).tolist() == same.ids(text).tolist()
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "c": 1.0}])
 def test_pack_round_trip(edge, weights):
     path = tokenizer_file("byte_bpe_50k.tiktoken")
