@@ -97,16 +97,14 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model of the rows with a language; callers leave held-out rows away."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    # One row for each language reaches the driver; beyond 1000 languages the rarest are left out.
-    counts = labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(1000).collect()
+    # One row for each language reaches the driver.
+    counts = labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").collect()
     if not counts:
         return Model([], np.zeros(0), {}, [{} for _ in range(LONGEST)])
     languages = [r["l"] for r in counts]
     share = np.array([r["n"] for r in counts], float)
-    fraction = F.lit(0.0)
-    for r in counts:
-        fraction = F.when(F.col("l") == r["l"], min(1.0, per_language / r["n"])).otherwise(fraction)
-    sample = labelled.filter(F.pmod(F.xxhash64(F.col("d"), F.lit(7)), F.lit(1 << 20)) < fraction * (1 << 20))
+    fractions = docs.sparkSession.createDataFrame([(r["l"], min(1.0, per_language / r["n"])) for r in counts], "l string, fraction double")
+    sample = labelled.join(F.broadcast(fractions), "l").filter(F.pmod(F.xxhash64(F.col("d"), F.lit(7)), F.lit(1 << 20)) < F.col("fraction") * (1 << 20))
     each = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS_JAVA), F.lit(0))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
     top = each.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= max(1, words // len(languages)))
     table = top.select("l", "w", "n").toPandas()

@@ -313,6 +313,12 @@ def test_backoff_to_shorter_grams():
     assert m.predict("unseen!") == ("x", 0.6) and m.predict("12 !") == ("und", 0.0) and m.predict(None) == ("und", 0.0)
 
 
+def test_more_languages_than_a_thousand(spark):
+    df = spark.createDataFrame([(i, "same" + "".join(chr(97 + int(c)) for c in str(i)), f"l{i}") for i in range(1003)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert set(model.languages) == {f"l{i}" for i in range(1003)}
+
+
 def test_language_edges(edge, nothing):
     model = langid.train(edge)
     out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(edge, model).collect()}
