@@ -184,12 +184,12 @@ max(list_max(list_transform(runs, lambda w: len(w))))::BIGINT AS longest_run FRO
 
 
 def copied_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as targets, documents' first lines as sources: joined on a shared run of words of the least length, checked in full."""
+    """Benchmark passages as targets, documents' lines as sources: joined on a shared run of words of the least length, checked in full."""
     least = 4
     nothing = F.array().cast("array<string>")
     grams = lambda runs: F.array_distinct(F.flatten(F.transform(runs, lambda w: F.when(F.size(w) >= least, F.transform(F.sequence(F.lit(1), F.size(w) - least + 1), lambda i: F.lower(F.array_join(F.slice(w, i, F.lit(least)), " ")))).otherwise(nothing))))
     target = corpus.table(spark, sf_dir, "benchmark").select("item_id", language.english_runs(F.col("text")).alias("t_runs"))
-    source = corpus.groups(spark, sf_dir).filter("kind = 'en'").select("group_id", language.english_runs(F.get("lines", F.lit(0))).alias("s_runs"))
+    source = corpus.groups(spark, sf_dir).filter("kind = 'en'").select("group_id", F.flatten(F.transform("lines", lambda line: language.english_runs(line))).alias("s_runs"))
     t = target.select("item_id", F.explode(grams(F.col("t_runs"))).alias("gram"))
     s = source.select("group_id", F.explode(grams(F.col("s_runs"))).alias("gram"))
     met = s.join(t, "gram").select("group_id", "item_id").distinct().join(target, "item_id").join(source, "group_id")

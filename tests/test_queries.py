@@ -42,3 +42,18 @@ def test_entry_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_copied_fragments_on_every_line(spark, tmp_path):
+    docs = [(1, "first line\nsays one Two three four five here\nlast", "en"), (2, "one two three\nfour five six seven", "en"), (3, "x\none two three four five", "de"), (4, None, "en"), (5, "a\nb\nseven eight nine tens", "en"), (6, "one two three four five", "en")]
+    items = [(10, "one two three four five six"), (11, "so seven eight nine tens")]
+    spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = set()
+    for i, text, lang in docs:
+        for item, words in ((n, t.split()) for n, t in items):
+            spans = [(a, -b) for a in range(len(words)) for b in range(a + 4, len(words) + 1) if lang == "en" and any(f" {' '.join(words[a:b])} " in f" {line.lower()} " for line in (text or "").split("\n"))]
+            if spans:
+                a, b = min(spans)
+                want.add((i, item, " ".join(words[a:-b])))
+    assert len(want) == 3 and {tuple(r) for r in catalog.QUERIES["copied_fragments"](spark, str(tmp_path)).collect()} == want
