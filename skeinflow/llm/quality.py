@@ -3,11 +3,13 @@
 Two faults are told apart, each with classifiers of its own: low quality
 (labels.quality = 0) and toxicity (labels.toxic = 1).  The models are fitted on
 a bounded sample: at most ``labelled`` labelled texts and ``pool`` unlabelled
-ones, chosen by a hash of their ids; everything is then scored.
+ones, chosen by a hash of their ids; everything is then scored.  The sample's features
+are made and counted on the executors; the driver gets no texts but, for each
+sampled row, the hashes of its features that LEAST sampled rows have.
 
-Text view: the words, word beginnings and word ends that set faulty texts
-apart (a lexicon of at most LEXICON hashed features with their log odds), and
-a few ratios (repeated words, capitals, digits, other signs, word length, size), under a
+Text view: the words, word beginnings (also those that several words of a text
+have) and word ends that set faulty texts apart (a lexicon of at most LEXICON
+hashed features with their log odds), and a few ratios (repeated words, capitals, digits, other signs, word length, size), under a
 logistic regression.  The lexicon's sums for training rows come from lexicons
 of the other folds.  Metadata view: smoothed log odds of source and language
 and the declared length, under a logistic regression.
@@ -34,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import ALNUM_WORD, SPACE_WORD, Words, mix, powers, slices
+from .. import scratch
+from .textarrays import ALNUM_WORD, SPACE_WORD, Words, mix, slices, span_hashes
 
 LABELLED, POOL = 4_000, 1_000
 LEXICON = 20_000
@@ -44,7 +47,8 @@ EVIDENCE = 20.0
 LEAST = 4
 ROUNDS, GROWTH, SURE = 3, 300, 0.97
 FOLDS = 4
-THRESHOLD = 0.5
+#: A fault this probable rejects; half would let three times as many toxic texts through for a few clean ones more.
+THRESHOLD = 0.3
 FAULTS = ("low", "toxic")
 PREFIX_BYTES, SUFFIX_BYTES = 5, 3
 RATIOS = 7
@@ -55,18 +59,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     rows = len(offsets) - 1
     low = Words(data, offsets, ALNUM_WORD, lower=True)
     spaced = Words(data, offsets, SPACE_WORD, lower=False)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
 
     def cut(words: Words, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
-        np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + np.uint64(kind))
+        out = span_hashes(words.data, starts, ends)
+        out += np.uint64(kind)
+        return mix(out)
 
     row_low = np.repeat(np.arange(rows), np.diff(low.bounds))
     row_spaced = np.repeat(np.arange(rows), np.diff(spaced.bounds))
     whole = cut(low, low.starts, low.ends, 1)
     begun = cut(low, low.starts, np.minimum(low.starts + PREFIX_BYTES, low.ends), 2)
     ended = cut(spaced, np.maximum(spaced.ends - SUFFIX_BYTES, spaced.starts), spaced.ends, 3)
+    again = _several(row_low, begun)
     size = np.maximum(np.diff(offsets), 1)
 
     def ratio(mask: np.ndarray) -> np.ndarray:
@@ -77,13 +81,31 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     digit = (data >= 0x30) & (data <= 0x39)
     other = ~ALNUM_WORD[data] & SPACE_WORD[data]
     words = np.diff(spaced.bounds)
-    again = np.zeros(len(spaced.starts) + 1, int)
+    same = np.zeros(len(spaced.starts) + 1, int)
     if len(spaced.starts) > 1:
         each = cut(spaced, spaced.starts, spaced.ends, 4)
-        again[2:] = np.cumsum((each[1:] == each[:-1]) & (row_spaced[1:] == row_spaced[:-1]))
-    repeats = (again[spaced.bounds[1:]] - again[spaced.bounds[:-1]]) / np.maximum(words, 1)
+        same[2:] = np.cumsum((each[1:] == each[:-1]) & (row_spaced[1:] == row_spaced[:-1]))
+    repeats = (same[spaced.bounds[1:]] - same[spaced.bounds[:-1]]) / np.maximum(words, 1)
     ratios = np.stack([repeats, ratio(capital), ratio(digit), ratio(other), size / np.maximum(words, 1) / 10, np.log1p(words), np.log1p(size)], axis=1)
-    return np.concatenate([row_low, row_low, row_spaced]), np.concatenate([whole, begun, ended]), ratios
+    return np.concatenate([row_low, row_low, row_spaced, row_low[again]]), np.concatenate([whole, begun, ended, mix(begun[again] + np.uint64(5))]), ratios
+
+
+def _several(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the second and later occurrences of a key in a row."""
+    both = mix(key ^ mix(row.astype(np.uint64)))
+    order = np.argsort(both, kind="stable")
+    return order[1:][both[order[1:]] == both[order[:-1]]]
+
+
+def _sums(row: np.ndarray, odds: np.ndarray, rows: int) -> np.ndarray:
+    """For each row and fault: sum of positive odds, of negative odds, and greatest odds; a row's features (row, odds by fault) each once."""
+    out = np.zeros((rows, 3 * odds.shape[1]))
+    for f in range(odds.shape[1]):
+        o = odds[:, f]
+        out[:, 3 * f] = np.log1p(np.bincount(row, np.maximum(o, 0), rows))
+        out[:, 3 * f + 1] = -np.log1p(np.bincount(row, np.maximum(-o, 0), rows))
+        np.maximum.at(out[:, 3 * f + 2], row, o)
+    return out
 
 
 @dataclass
@@ -93,22 +115,14 @@ class Lexicon:
 
     def sums(self, row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
         """For each row and fault: sum of positive odds, of negative odds, and greatest odds, each feature once."""
-        out = np.zeros((rows, 3 * self.odds.shape[1]))
         if not len(self.keys):
-            return out
+            return np.zeros((rows, 3 * self.odds.shape[1]))
         seen = self._may(key)
         row, key = row[seen], key[seen]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[at] == key
         pair = np.unique(row[hit].astype(np.int64) * len(self.keys) + at[hit])
-        r, a = pair // len(self.keys), pair % len(self.keys)
-        for f in range(self.odds.shape[1]):
-            o = self.odds[a, f]
-            np.add.at(out[:, 3 * f], r, np.maximum(o, 0))
-            np.add.at(out[:, 3 * f + 1], r, np.minimum(o, 0))
-            np.maximum.at(out[:, 3 * f + 2], r, o)
-        out[:, 0::3], out[:, 1::3] = np.log1p(out[:, 0::3]), -np.log1p(-out[:, 1::3])
-        return out
+        return _sums(pair // len(self.keys), self.odds[pair % len(self.keys)], rows)
 
     def _may(self, key: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_table"):
@@ -121,29 +135,24 @@ def _xlog(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / expected), 0.0)
 
 
-def learn_lexicon(row: np.ndarray, key: np.ndarray, y: np.ndarray, known: np.ndarray) -> Lexicon:
-    """Features whose share of faulty rows (y, by fault) differs most surely from that of sound ones; only rows in ``known`` count."""
+def learn_odds(row: np.ndarray, code: np.ndarray, codes: int, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """(codes, faults): log odds of the features whose share of faulty rows (y, by fault) differs most surely from that of sound ones, 0 for all others; only rows in ``known`` count."""
     use = known[row]
-    keys, code = np.unique(key[use], return_inverse=True)
-    faults = y.shape[1]
-    if not len(keys):
-        return Lexicon(keys, np.zeros((0, faults)))
-    row = row[use]
-    total = np.bincount(code, minlength=len(keys)).astype(float)
-    odds, sure = np.zeros((len(keys), faults)), np.zeros(len(keys))
+    row, code, faults = row[use], code[use], y.shape[1]
+    total = np.bincount(code, minlength=codes).astype(float)
+    odds, sure = np.zeros((codes, faults)), np.zeros(codes)
     for f in range(faults):
-        bad = np.bincount(code, weights=y[row, f], minlength=len(keys))
+        bad = np.bincount(code, weights=y[row, f], minlength=codes)
         n_bad, n = y[known, f].sum(), known.sum()
         if not n_bad or n_bad == n:
             continue
         lo = np.log((bad + 0.5) / (n_bad + 1)) - np.log((total - bad + 0.5) / (n - n_bad + 1))
         # The likelihood ratio of the feature's two shares against one common share.
-        g = 2 * (_xlog(bad, total * n_bad / n) + _xlog(total - bad, total * (n - n_bad) / n))
+        g = 2 * (_xlog(bad, np.maximum(total, 1) * n_bad / n) + _xlog(total - bad, np.maximum(total, 1) * (n - n_bad) / n))
         odds[:, f] = np.where((g > EVIDENCE) & (total >= LEAST), lo, 0)
         sure = np.maximum(sure, np.where(odds[:, f] != 0, g, 0))
-    best = np.argsort(-sure, kind="stable")[:LEXICON]
-    best = np.sort(best[sure[best] > 0])
-    return Lexicon(keys[best], odds[best])
+    odds[np.argsort(-sure, kind="stable")[LEXICON:]] = 0
+    return odds
 
 
 @dataclass
@@ -234,6 +243,8 @@ class Model:
 def cotrain(row: np.ndarray, key: np.ndarray, ratios: np.ndarray, meta: list[tuple], y: np.ndarray, labelled: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, growth: int = GROWTH, sure: float = SURE) -> Model:
     """A model from (row, feature) pairs (distinct), ratios, metadata and labels; fold 0 of the labelled rows calibrates."""
     n, faults = len(ratios), y.shape[1]
+    keys, code = np.unique(key, return_inverse=True)
+    code = code.astype(np.int32)
     calibrating = labelled & (fold == 0)
     train = labelled & ~calibrating
     if not calibrating.any() or not train.any():
@@ -241,16 +252,19 @@ def cotrain(row: np.ndarray, key: np.ndarray, ratios: np.ndarray, meta: list[tup
     given = {"text": (train.copy(), y.astype(float).copy()), "meta": (train.copy(), y.astype(float).copy())}
     present = [0 < y[labelled, f].sum() < labelled.sum() and y[train, f].any() for f in range(faults)]
     pool = ~labelled
+
+    def sums_of(odds: np.ndarray) -> np.ndarray:
+        some = odds.any(axis=1)[code]
+        return _sums(row[some], odds[code[some]], n)
+
     for r in range(rounds + 1):
         known, target = given["text"]
-        lexicon = learn_lexicon(row, key, target, known)
-        x = np.column_stack([lexicon.sums(row, key, n), ratios])
+        odds = learn_odds(row, code, len(keys), target, known)
+        x = np.column_stack([sums_of(odds), ratios])
         for k in range(FOLDS):  # a training row's sums come from a lexicon that hasn't seen it
             mine = known & (fold == k)
             if mine.any() and (known & ~mine).any():
-                other = learn_lexicon(row, key, target, known & ~mine)
-                pick = mine[row]
-                x[mine, : 3 * faults] = other.sums(row[pick], key[pick], n)[mine]
+                x[mine, : 3 * faults] = sums_of(learn_odds(row, code, len(keys), target, known & ~mine))[mine]
         text_view = [fit_logistic(x[known], target[known, f]) for f in range(faults)]
         known_m, target_m = given["meta"]
         table = learn_meta(meta, target_m, known_m)
@@ -273,40 +287,35 @@ def cotrain(row: np.ndarray, key: np.ndarray, ratios: np.ndarray, meta: list[tup
     for f in range(faults):
         both = np.column_stack([text_view[f].logit(x), meta_view[f].logit(columns[f])])
         combine.append(fit_logistic(both[calibrating], y[calibrating, f].astype(float), ridge=0.1))
-    return Model(lexicon, table, text_view, meta_view, combine, present)
-
-
-def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, keys, ratios = [], [], []
-    for first, _, data, offsets in slices(texts):
-        r, k, x = features(data, offsets)
-        for i, part in enumerate(np.split(k[np.argsort(r, kind="stable")], np.cumsum(np.bincount(r, minlength=len(x)))[:-1])):
-            u = np.unique(part)
-            rows.append(np.full(len(u), first + i, np.int32))
-            keys.append(u)
-        ratios.append(x)
-    if not ratios:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, RATIOS))
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(ratios)
-
-
-def _seen_often(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of features that LEAST rows or more have; the others can't be in a lexicon.  By ranges of the hash, to sort a little at a time."""
-    rows, keys = [], []
-    part = (key >> np.uint64(59)).astype(np.uint8)
-    for p in range(32):
-        k = key[part == p]
-        _, code, count = np.unique(k, return_inverse=True, return_counts=True)
-        often = count[code] >= LEAST
-        keys.append(k[often])
-        rows.append(row[part == p][often])
-    return np.concatenate(rows), np.concatenate(keys)
+    used = odds.any(axis=1)
+    return Model(Lexicon(keys[used], odds[used]), table, text_view, meta_view, combine, present)
+
+
+def distinct_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct feature hashes and the ratios of each text."""
+    for _, _, data, offsets in slices(texts):
+        row, key, ratios = features(data, offsets)
+        parts = np.split(key[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=len(ratios)))[:-1])
+        yield from zip(map(np.unique, parts), ratios)
+
+
+def _featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            found = list(distinct_features(part.column("t")))
+            added = [pa.array([k.view(np.int64) for k, _ in found], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _SAMPLE], *added], names=[*_SAMPLE, "keys", "ratios"])
+
+
+#: Columns of a sampled row beside its text: id, text's hash, source, language, length, faults (null: unlabelled).
+_SAMPLE = ("d", "h", "s", "l", "n", "low", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """A model from a bounded sample; None without labels."""
-    known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("__l")).agg((F.min("quality") == 0).cast("int").alias("__low"), (F.max("toxic") == 1).cast("int").alias("__toxic"))
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(source).alias("s"), F.col(lang).alias("l"), F.col(n_chars).cast("double").alias("n"))
+    known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("__l")).agg((F.min("quality") == 0).cast("int").alias("low"), (F.max("toxic") == 1).cast("int").alias("toxic"))
+    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(lang).cast("string").alias("l"), F.col(n_chars).cast("double").alias("n"))
     n_known = known.count()
     if not n_known:
         return None
@@ -315,17 +324,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # Labels outside the sample's reach are cut before the join, by the same hash of the id.
     some = known.filter(F.pmod(F.xxhash64(F.col("__l").cast(docs.schema[doc_id].dataType), F.lit(11)), F.lit(1 << 24)) / float(1 << 24) < labelled / n_known)
     wanted = rows.filter(place < max(labelled / n_known, pool / n_rows)).join(F.broadcast(some), F.col("d") == F.col("__l"), "left")
-    sample = wanted.filter(F.col("__l").isNotNull() | (place < pool / n_rows)).drop("__l").toArrow()
-    if not sample.num_rows:
-        return None
-    order = sample.sort_by([("d", "ascending")])
-    row, key, ratios = distinct_features(order.column("t").combine_chunks())
-    row, key = _seen_often(row, key)
-    meta = list(zip(order.column("s").to_pylist(), order.column("l").to_pylist(), order.column("n").to_pylist()))
-    low, toxic = order.column("__low").to_pylist(), order.column("__toxic").to_pylist()
-    has = np.array([v is not None for v in low])
+    sample = wanted.filter(F.col("__l").isNotNull() | (place < pool / n_rows)).select(*_SAMPLE, "t")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.schema if f.name != "t")
+    made = scratch.keep(sample.mapInArrow(_featurizer, f"{kind}, keys array<long>, ratios array<double>").withColumn("u", F.monotonically_increasing_id()), "quality-sample")
+    order = made.drop("keys").toArrow().sort_by([("d", "ascending"), ("h", "ascending"), ("u", "ascending")])  # `labelled` + `pool` rows of numbers
+    low, toxic = order.column("low").to_pylist(), order.column("toxic").to_pylist()
+    has = np.array([v is not None for v in low], bool)
     if not has.any():
+        scratch.drop(made)
         return None
+    each = made.select("u", F.explode("keys").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= LEAST).select("key")
+    pairs = each.join(often, "key").groupBy("u").agg(F.collect_list("key").alias("keys")).toArrow()  # a sampled row's features, hashed
+    lists = pairs.column("keys").combine_chunks()
+    key = lists.flatten().to_numpy().view(np.uint64)
+    where = np.argsort(order.column("u").to_numpy())
+    at = where[np.searchsorted(order.column("u").to_numpy()[where], pairs.column("u").to_numpy())]
+    row = np.repeat(at, np.diff(lists.offsets.to_numpy())).astype(np.int32)
+    del pairs, lists
+    scratch.drop(made)
+    meta = list(zip(order.column("s").to_pylist(), order.column("l").to_pylist(), order.column("n").to_pylist()))
+    ratios = order.column("ratios").combine_chunks().flatten().to_numpy().reshape(len(has), RATIOS)
     y = np.column_stack([[v or 0 for v in low], [v or 0 for v in toxic]]).astype(float)
     fold = np.arange(len(has)) % FOLDS
     return cotrain(row, key, ratios, meta, y, has, fold)

@@ -46,7 +46,6 @@ WINDOW = 20
 ANCHOR = 8
 #: Segments of an anchor in one group, and segments compiled at a time.
 GROUP, COMPILED = 500, 2_000
-SLICE = 4_000_000
 _NONE = -(1 << 63)
 
 
@@ -100,7 +99,7 @@ def _segmenter(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc").to_numpy()
-            for first, _, data, offsets in slices(batch.column("text"), SLICE):
+            for first, _, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets, SPACE_WORD, lower=False)
                 text, start, n, anchor, seg, kind = segments(words.hashes(), words.bounds, window)
                 doc = docs[first + text]

@@ -1,9 +1,10 @@
 """Words of many texts as numpy arrays, straight from an Arrow string buffer.
 
 A word is identified by a 64-bit polynomial hash of its bytes (modulo 2**64
-with an odd base, so that any slice's hash follows from two prefix sums), put
-through a bit mixer.  Work is done in slices of a few MB of text so that the
-arrays beside the text stay small; a single longer text is one slice.
+with an odd base, so that any span's hash follows from two prefix sums), put
+through a bit mixer.  Work is done in slices of half a MB of text so that the
+arrays beside the text stay small.  A single longer text is one slice, whose
+words are hashed in blocks of that size all the same.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1 << 19
 
 #: [\x20\x09-\x0D] separate words.
 SPACE_WORD = np.ones(256, bool)
@@ -27,18 +28,50 @@ ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x41:0x5B] = ALNUM_WORD[0x61:0x7B] = ALNUM_WO
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[str, np.ndarray] = {}
+_MASK = (1 << 64) - 1
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and INVERSE**i for i below n or more."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            line = np.full(size, base, np.uint64)
-            line[0] = 1
-            _powers[name] = np.cumprod(line, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def _line(base: np.uint64, n: int) -> np.ndarray:
+    line = np.full(n, base, np.uint64)
+    line[0] = 1
+    return np.cumprod(line, dtype=np.uint64)
+
+
+#: BASE**i and INVERSE**i for the places of a block.
+UP, DOWN = _line(BASE, SLICE_BYTES + 1), _line(INVERSE, SLICE_BYTES + 1)
+
+
+def _long_hash(data: np.ndarray) -> int:
+    """The polynomial of one span that is longer than a block."""
+    total, scale, step = 0, 1, pow(int(BASE), SLICE_BYTES, 1 << 64)
+    for at in range(0, len(data), SLICE_BYTES):
+        part = data[at : at + SLICE_BYTES].astype(np.uint64) + np.uint64(1)
+        part *= UP[: len(part)]
+        total += int(part.sum(dtype=np.uint64)) * scale
+        scale = scale * step & _MASK
+    return total & _MASK
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomials, not yet mixed, of spans that are in order and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))
+        if to <= at:
+            out[at] = _long_hash(data[base : ends[at]])
+            at += 1
+            continue
+        block = np.zeros(int(ends[to - 1]) - base + 1, np.uint64)
+        block[1:] = data[base : ends[to - 1]]
+        block[1:] += np.uint64(1)
+        block[1:] *= UP[: len(block) - 1]
+        np.cumsum(block, out=block)
+        first = starts[at:to] - base
+        out[at:to] = (block[ends[at:to] - base] - block[first]) * DOWN[first]
+        at = to
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,13 +125,7 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return mix(span_hashes(self.data, self.starts, self.ends))
 
 
 def grams(words: np.ndarray, k: int, seed: int = 0x2545F4914F6CDD1D) -> np.ndarray:
