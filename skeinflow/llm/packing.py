@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import scratch
+from .textarrays import slices
 from .tokenize import encoder
 
 LENGTH = 2048
@@ -43,7 +44,6 @@ LANE_TOKENS = 2_000_000
 MIN_SERVE = 256
 #: Tokens a byte, for the number of lanes only.
 TOKENS_PER_BYTE = 0.45
-ROWS = 200
 
 
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", lanes: int = 1, end: int = END) -> DataFrame:
@@ -52,11 +52,11 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(tokenizer), np.array([end], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for first, after, _, _ in slices(batch.column("text")):
+                part = batch.slice(first, after - first)
                 n, wide, small = [], [], []
-                for t in part.column("text").to_pylist():
-                    ids = np.concatenate([enc.ids(t or ""), last])
+                for ids in enc.batch([t or "" for t in part.column("text").to_pylist()]):
+                    ids = np.concatenate([ids, last])
                     n.append(len(ids))
                     wide.append(int(ids.max()) > 0xFFFF)
                     small.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())

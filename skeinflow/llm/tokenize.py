@@ -1,57 +1,95 @@
-"""Token ids by a public byte-level BPE vocabulary.
-
-A ``.json`` file is read with tokenizers; a ``.tiktoken`` file, the same
-vocabulary as ranks, with tiktoken, which gives the same ids at a third of the
-time (a test holds the two against each other).  Strings of special tokens in
-a text are ordinary text for both.
+"""Token ids by a public vocabulary file, read and applied by tokenizers.
+
+Texts are cut into chunks at single spaces between characters that aren't white
+space.  The vocabulary's pre-tokens never reach across such a place (the space
+begins the next one), so the ids of a text are those of its chunks, one after
+another.  Each worker keeps the ids of at most ``KEPT`` chunks; those that it
+doesn't have are given to tokenizers, many as one text, whose ids are told
+apart by the lengths of their tokens.  Strings of the vocabulary's added tokens
+become these tokens' ids, as in tokenizers; no special token is added.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 from functools import cache
 
 import numpy as np
 
-#: Fixed value: how the vocabulary's pre-tokens are cut.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-#: White space as in PATTERN, in runs too long for tiktoken's matcher, which gives up at about a million characters.
-SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100000,}")
+#: \S leaves out more characters than the vocabulary's patterns call white space, never fewer.
+CUT = re.compile(r" (?=\S)(?<=\S )")
+#: Chunks whose ids a worker keeps, and the longest of them.
+KEPT, LONGEST = 250_000, 64
 
 
 class Encoder:
     def __init__(self, path: str):
-        if path.endswith(".tiktoken"):
-            import tiktoken
-
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            encoding = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-            def one(text: str) -> list[int]:
-                ids, at = [], 0
-                for run in SPACES.finditer(text):
-                    # The pattern takes a run, less its last character if a text follows, as one pre-token.
-                    end = run.end() - (run.end() < len(text))
-                    ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
-                    at = end
-                return ids + encoding.encode_ordinary(text[at:])
-
-            self._one = one
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self._one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self._one(text), "<u4")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes that an id stands for: one for each character of a byte-level token.
+        self.width = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        for i, n in added.items():
+            self.width[i] = n
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.bounds = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids straight from tokenizers."""
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[str]) -> None:
+        joined = [k for k in keys if k[0] != "\n" and not k[-1].isspace()]
+        if joined:
+            (ids,) = self.whole([" " + " ".join(joined)])
+            ends = np.cumsum([len(k) + 1 if k.isascii() else len(k.encode()) + 1 for k in joined])
+            self._add(joined, ids, np.searchsorted(np.cumsum(self.width[ids]), ends, side="right"))
+        rest = [k for k in keys if k[0] == "\n" or k[-1].isspace()]
+        if rest:
+            found = self.whole([k[1:] if k[0] == "\n" else " " + k for k in rest])
+            self._add(rest, np.concatenate(found), np.cumsum([len(f) for f in found]))
+
+    def _add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, at = len(self.place), int(self.bounds[len(self.place)])
+        if n + len(keys) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds) + len(keys), np.int64)])
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), "<u4")])
+        self.flat[at : at + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(keys)] = at + ends
+        self.place.update(zip(keys, range(n, n + len(keys))))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        if len(self.place) > KEPT:
+            self._clear()
+        parts = [CUT.split(t) for t in texts]
+        for p in parts:
+            p[0] = "\n" + p[0]  # no other chunk begins with white space
+        new = {k for p in parts for k in p if k not in self.place}
+        # Long chunks come last, to be forgotten after the batch.
+        long = [k for k in new if len(k) > LONGEST]
+        new.difference_update(long)
+        for keys in (list(new), long):
+            if keys:
+                self._learn(keys)
+        place = self.place
+        which = np.array([place[k] for p in parts for k in p], np.int64)
+        count = self.bounds[which + 1] - self.bounds[which]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.bounds[which] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        for k in long:
+            del place[k]
+        return np.split(ids, ends[np.cumsum([len(p) for p in parts])[:-1] - 1]) if texts else []
 
 
 @cache
