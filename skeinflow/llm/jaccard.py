@@ -231,7 +231,7 @@ def _comparer(percent: int):
     return run
 
 
-def _bitmap(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
+def in_bitmap(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     """The rows of docs with __may: whether their id may be among ids (id), by a bitmap of FILTER_BITS, which is broadcast."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
@@ -242,7 +242,7 @@ def _bitmap(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs (doc_id) that may be among ids (id), so that few others are shuffled."""
-    return _bitmap(docs, "doc_id", ids).filter("__may").drop("__may")
+    return in_bitmap(docs, "doc_id", ids).filter("__may").drop("__may")
 
 
 def _compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
@@ -478,7 +478,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "do
     """The documents without those that are in a group with a smaller id."""
     found = classes(docs, k, percent, doc_id, text).filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("id")).distinct()
     gone = scratch.keep(found, "gone")
-    marked = _bitmap(docs, doc_id, gone)
+    marked = in_bitmap(docs, doc_id, gone)
     # Only rows that may go are shuffled.
     rest = marked.filter("__may").join(gone.withColumnRenamed("id", "__id"), F.col(doc_id) == F.col("__id"), "left_anti")
     return marked.filter("not __may").unionByName(rest).select(*docs.columns)

@@ -440,6 +440,59 @@ def test_repeats_like_brute_force(spark, monkeypatch, window, seed, group):
     assert got == brute_repeats(docs, window)
 
 
+@pytest.mark.parametrize("group", [500, 2])
+def test_repeats_where_ids_repeat(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(group)
+    passages = [[f"p{i}w{j}" for j in range(rng.randrange(6, 25))] for i in range(6)]
+    docs = []
+    for i in range(80):
+        words = [w for _ in range(rng.randrange(1, 6)) for w in (rng.choice(passages) if rng.random() < 0.6 else [f"u{rng.randrange(900)}" for _ in range(9)])]
+        docs.append((rng.choice([None, *range(25)]), " ".join(words)))
+    docs += docs[:9]
+    got = collections.Counter(tuple(r) for r in repeats.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), window=5).collect())
+    seen: dict = {}
+    key = lambda d: -1 if d is None else d
+    for d, t in docs:
+        w = t.split()
+        for i in range(len(w) - 4):
+            seen[tuple(w[i : i + 5])] = min(key(d), seen.get(tuple(w[i : i + 5]), 99))
+    want: collections.Counter = collections.Counter()
+    for d, t in docs:
+        w, gone, own = t.split(), set(), set()
+        for i in range(len(w) - 4):
+            x = tuple(w[i : i + 5])
+            if x in own or seen[x] < key(d):
+                gone.update(range(i, i + 5))
+            own.add(x)
+        want[(d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())] += 1
+    assert got == want
+
+
+def test_repeats_of_other_rows_with_the_same_id(spark):
+    w, z = " ".join(f"w{i}" for i in range(40)), " ".join(f"z{i}" for i in range(40))
+    out = repeats.report(spark.createDataFrame([(1, w), (2, w), (2, z)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, 0), (2, 0), (2, 40)]
+
+
+def test_repeats_when_hashes_collide(monkeypatch):
+    # Rolling hashes only deal the work: with 3 different ones, segments and windows are still told apart by words.
+    monkeypatch.setattr(repeats, "grams", lambda words, k: np.array([int(x) % 3 for x in textarrays.grams(words, k)], np.uint64))
+    rng = random.Random(6)
+    docs = [" ".join(rng.choice("ab") + str(rng.randrange(4)) for _ in range(60)) for _ in range(12)] + ["a1 b2 " * 20]
+    rows = []
+    for d, t in enumerate(docs):
+        ((_, _, data, offsets),) = textarrays.slices(pa.array([t]))
+        for _, start, n, anchor, seg, _ in zip(*repeats.segments(textarrays.Words(data, offsets, textarrays.SPACE_WORD, lower=False), 5)):
+            words = t.encode().split()[start : start + n + 4]
+            assert int(seg) == int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little")
+            rows.append((d, 0, int(start), words))
+    gone = collections.defaultdict(set)
+    for d, _, start, n in repeats.locate(rows, 5):
+        gone[d].update(range(start, start + n + 4))
+    assert {d: len(gone[d]) for d in range(len(docs))} == {d: removed for d, (_, removed, _) in brute_repeats(list(enumerate(docs)), 5).items()}
+
+
 def test_repeats_edges(edge, nothing):
     rows = [(-1 if d is None else d, t) for d, t, *_ in edge_rows()]
     want = brute_repeats(list(dict.fromkeys(rows)), 20)
