@@ -7,9 +7,12 @@ a short prefix of each, so an index list is kept for every prefix shingle, whose
 entries carry the set's size and the shingle's position.
 
 * Lists with one set, the most, end there.  Equal sets are one entry.
-* Answers of similar sets: every list's smallest entry is its pivot, and the
-  others are compared with it first.  Sets linked to a pivot are in one group,
-  and a list whose sets are in one group already is skipped as a whole.
+* Answers of similar sets: of every list's entries of about one size the smallest
+  is their pivot, and the others are compared with it first.  Sets linked to a
+  pivot are in one group, and a list whose sets are in one group already is
+  skipped as a whole.  Then each group is compared with the likeliest other
+  group of each of its lists, for a few rounds, so that large groups grow
+  together from a few pairs for each set before all that is left is compared.
 * Elsewhere the list is taken in order of size.  Whole blocks of it are skipped
   by size and by position (what follows the position can't hold enough common
   shingles).  For the rest, the differences from the common pivot that are known
@@ -45,7 +48,9 @@ CHUNKS = 16
 BLOCK = 4_000
 SALT_ROWS = 4_000
 FILTER_BITS = 1 << 24
-#: Pairs of two groups that are compared before the groups are looked at again; None: all.
+#: Rounds in which each group's likeliest partner of each list is compared.
+GROWING = 3
+#: Then: pairs of two groups that are compared before the groups are looked at again; None: all.
 ROUNDS = (1, 16, None)
 
 
@@ -259,9 +264,8 @@ def _compare(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percen
     return scratch.keep(ordered.select("pivot", "node", "set").mapInArrow(_comparer(percent), "pivot long, node long, different long, linked boolean"), "compared")
 
 
-def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: Sketches | None, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or (if given) sketch, and the sketches' differences; entries in order of size."""
-    left, right, gap = [], [], []
+def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray, pivot: np.ndarray, sketches: Sketches | None, side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(entry, later entries, the sketches' differences): pairs of a list's entries, in different groups, that can't be told apart by size, position, distance from a common pivot or (if given) sketch; entries in order of size."""
     for i in range(len(n) - 1):
         # Sizes are sorted: entries too large for this one are skipped as a block.
         top = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
@@ -281,12 +285,34 @@ def likely(n: np.ndarray, pos: np.ndarray, group: np.ndarray, away: np.ndarray,
             differ = sketches.differ(i, js)
             js, differ = js[differ <= most], differ[differ <= most]
         if len(js):
-            left.append(np.full(len(js), i))
-            right.append(js)
-            gap.append(differ)
-    if not left:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(gap)
+            yield i, js, differ
+
+
+def partnered(pairs: Iterator[tuple[int, np.ndarray, np.ndarray]], count: int) -> list[int]:
+    """The entries that are in a pair."""
+    there = np.zeros(count, bool)
+    for i, js, _ in pairs:
+        there[i] = there[js] = True
+    return np.flatnonzero(there).tolist()
+
+
+def likeliest(pairs: Iterator[tuple[int, np.ndarray, np.ndarray]], group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(entry, entry, difference) of each group's pair with the smallest difference; the first of equals."""
+    _, code = np.unique(group, return_inverse=True)
+    best = np.full(int(code.max()) + 1 if len(code) else 0, 1 << 62)
+    pair = np.zeros((len(best), 2), np.int64)
+    for i, js, gap in pairs:
+        order = np.lexsort((gap, code[js]))
+        first = order[np.flatnonzero(np.diff(code[js[order]], prepend=-1))]
+        first = first[gap[first] < best[code[js[first]]]]
+        best[code[js[first]]] = gap[first]
+        pair[code[js[first]]] = np.stack([np.full(len(first), i), js[first]], axis=1)
+        low = int(gap.argmin())
+        if gap[low] < best[code[i]]:
+            best[code[i]] = gap[low]
+            pair[code[i]] = i, js[low]
+    for g in np.flatnonzero(best < 1 << 62).tolist():
+        yield int(pair[g, 0]), int(pair[g, 1]), int(best[g])
 
 
 _ENTRY = ("tok", "b1", "b2", "node", "n", "pos", "label", "away", "pivot", "side")
@@ -305,8 +331,8 @@ def _in_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iter
         yield sorted(members, key=lambda r: r[4])
 
 
-def _lister(percent: int):
-    """The pairs of each list that sketches don't tell apart."""
+def _lister(percent: int, growing: bool):
+    """The pairs of each list that sketches don't tell apart: of each group the likeliest (``growing``), or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pairs: set[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -315,12 +341,16 @@ def _lister(percent: int):
         pairs: set[tuple[int, int, int]] = set()
         for members in _in_lists(batches, (*_ENTRY, "sketch")):
             _, _, _, node, n, pos, label, away, pivot, side, sk = zip(*members)
-            sketches = Sketches(list(sk))
-            for i, j, gap in zip(*likely(*map(np.array, (n, pos, label, away, pivot)), sketches, np.array(side), percent)):
-                pairs.add((min(node[i], node[j]), max(node[i], node[j]), int(gap)))
-            if len(pairs) > 50_000:
-                yield out(pairs)
-                pairs = set()
+            if len(set(label)) < 2:
+                continue
+            n, pos, label, away, pivot, side = map(np.array, (n, pos, label, away, pivot, side))
+            found = likely(n, pos, label, away, pivot, Sketches(list(sk)), side, percent)
+            every = likeliest(found, label) if growing else ((i, j, g) for i, js, gap in found for j, g in zip(js.tolist(), gap.tolist()))
+            for i, j, gap in every:
+                pairs.add((min(node[i], node[j]), max(node[i], node[j]), gap))
+                if len(pairs) > 50_000:
+                    yield out(pairs)
+                    pairs = set()
         yield out(pairs)
 
     return run
@@ -338,8 +368,7 @@ def _skipper(percent: int):
 
         for members in _in_lists(batches, _ENTRY):
             _, _, _, _, n, pos, label, away, pivot, side = map(np.array, zip(*members))
-            i, j, _ = likely(n, pos, label, away, pivot, None, side, percent)
-            kept += [members[x] for x in np.unique(np.concatenate([i, j])).tolist()]
+            kept += [members[x] for x in partnered(likely(n, pos, label, away, pivot, None, side, percent), len(n))]
             if len(kept) > 50_000:
                 yield out()
                 kept = []
@@ -372,8 +401,7 @@ def _sifter(percent: int):
                 members.sort(key=lambda r: r[2])
                 _, node, n, pos, _, _, _ = map(np.array, zip(*members))
                 alone = np.full(len(n), -1)
-                i, j, _ = likely(n, pos, node, alone, alone, None, alone, percent)
-                members = [members[x] for x in np.unique(np.concatenate([i, j])).tolist()]
+                members = [members[x] for x in partnered(likely(n, pos, node, alone, alone, None, alone, percent), len(n))]
             kept += members
             for r in entries:
                 kept.append(r)
@@ -413,8 +441,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
 
     entries = index.filter(F.size("prefix") > 0).select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok")).repartition("tok")
     # All columns are used on both sides, so that both read one and the same exchange.
-    pivots = entries.groupBy(F.col("tok").alias("t")).agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("last")).filter(F.col("p.node") < F.col("last"))
-    met = entries.join(pivots, F.col("tok") == F.col("t")).select("tok", "node", "n", "pos", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")  # sizes of one number may link
+    pivots = entries.groupBy(F.col("tok").alias("t"), about.alias("about")).agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("last"))
+    # A list has a few dozen sizes.
+    pivots = pivots.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("about", "p"))).alias("ps"), F.min("p.node").alias("first"), F.max("last").alias("last")).filter("first < last").select("t", "ps")
+    met = entries.join(pivots, F.col("tok") == F.col("t")).withColumn("p", F.element_at("ps", about)).select("tok", "node", "n", "pos", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
     lists = scratch.keep(met.sortWithinPartitions("tok").mapInArrow(_sifter(percent), "tok long, node long, n int, pos int, pivot long, pn int, ppos int"), "lists")
 
     most = F.floor((100 - percent) * (F.col("n") + F.col("pn")) / (100 + percent))
@@ -447,8 +478,26 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     )
     dealt = ["tok", "b1", "b2"]
     may = rows.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_skipper(percent), _ENTRY_SCHEMA)
-    pairs = may.join(sketches, F.col("node") == F.col("id")).drop("id").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_lister(percent), "pivot long, node long, gap long")
-    pairs = scratch.keep(pairs.distinct(), "pairs")
+    opened = scratch.keep(may.join(sketches, F.col("node") == F.col("id")).drop("id"), "open")
+
+    def linked_by(labels: DataFrame, now: DataFrame) -> DataFrame:
+        more = now.filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+        return scratch.keep(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+
+    def pairs_of(labels: DataFrame, growing: bool) -> DataFrame:
+        named = opened.drop("label").join(labels.select(F.col("node").alias("l"), "component"), F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("component", "node"))
+        ordered = named.select(*_ENTRY, "sketch").repartition(*dealt).sortWithinPartitions(*dealt)
+        return scratch.keep(ordered.mapInArrow(_lister(percent, growing), "pivot long, node long, gap long").distinct().join(compared, ["pivot", "node"], "left_anti"), "pairs")
+
+    compared, pairs = near.select("pivot", "node"), None
+    for _ in range(GROWING):
+        pairs = pairs_of(labels, growing=True)
+        if pairs.isEmpty():
+            break
+        now = _compare(pairs.select("pivot", "node").distinct(), narrow, first, k, percent)
+        compared = compared.unionByName(now.select("pivot", "node"))
+        labels = linked_by(labels, now)
+    pairs = pairs_of(labels, growing=False)
     # Groups only have to be joined once: the likeliest pairs of two groups are compared first, and
     # what these join needs no more comparing.  The last round takes all that is left.
     for share in ROUNDS:
@@ -463,8 +512,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
             best = pairs.groupBy(F.least("l", "r"), F.greatest("l", "r"), F.pmod(F.xxhash64("pivot", "node"), F.lit(share))).agg(F.min(F.struct("gap", "pivot", "node")).alias("p"))
             pick = best.select("p.*")
         now = _compare(pick.select("pivot", "node").distinct(), narrow, first, k, percent)
-        more = now.filter("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
-        labels = scratch.keep(connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+        labels = linked_by(labels, now)
         pairs = pairs.join(now.select("pivot", "node"), ["pivot", "node"], "left_anti").select("pivot", "node", "gap")
 
     label = labels.select(F.col("node").alias("l"), "component")
