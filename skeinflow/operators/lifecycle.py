@@ -44,12 +44,23 @@ def match_keys(expected: DataFrame, given: DataFrame, keys: list[str]) -> DataFr
     return e.join(g, keys, "full").select(*keys, problem.alias("problem")).filter("problem is not null")
 
 
-def compare_and_swap(units: DataFrame, pending: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+def compare_and_swap(units: DataFrame, pending: DataFrame, keys: list[str], value: str, digests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(units after the commit, conflicts in input order).
 
     pending: keys, expected, ``value`` and ordinal; a row applies where the
-    unit's value still is the expected one, null being a value.
+    unit's value still is the expected one, null being a value.  ``digests``
+    (one row: seen, now) gates the whole batch: where the input has changed since
+    it was read, every row is a conflict.  Keys are unique in a batch, as they are
+    in units: rows that share one are conflicts, all of them.
     """
+    twice = pending.groupBy(*keys).agg(F.count("*").alias("__c")).filter("__c > 1").drop("__c")
+    shared = pending.join(twice, keys, "left_semi").select(*keys, "ordinal")
+    pending = pending.join(twice, keys, "left_anti")
+    if digests is not None:
+        same_input = digests.groupBy().agg(F.coalesce(F.bool_and(F.col("seen").eqNullSafe(F.col("now"))), F.lit(False)).alias("__same"))  # one row
+        gated = pending.join(F.broadcast(same_input), F.lit(True))
+        late, pending = gated.filter("not __same").select(*keys, "ordinal"), gated.filter("__same").drop("__same")
+        shared = shared.unionByName(late)
     p = pending.select(*[F.col(k).alias(f"p_{k}") for k in keys], "expected", F.col(value).alias("put"), "ordinal")
     same: Column = F.lit(True)
     for k in keys:
@@ -57,7 +68,7 @@ def compare_and_swap(units: DataFrame, pending: DataFrame, keys: list[str], valu
     hit = same & F.col(value).eqNullSafe(F.col("expected"))
     applied = units.join(p, hit, "left").select(*[F.when(F.col("ordinal").isNotNull(), F.col("put")).otherwise(F.col(value)).alias(c) if c == value else F.col(c) for c in units.columns])
     conflicts = p.join(units, hit, "left_anti").select(*[F.col(f"p_{k}").alias(k) for k in keys], "ordinal")
-    return applied, conflicts
+    return applied, conflicts.unionByName(shared)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -44,7 +44,19 @@ def term_hits(text: Column, terms: list[dict]) -> Column:
     if len(owner) > ALTERNATION:
         raise ValueError("use term_hits_many for a dictionary of this size")
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(alternation(list(owner))), F.lit(1)))
-    return F.filter(F.array(*[F.when(F.arrays_overlap(found, F.array(*[F.lit(x) for x in t.get("triggers", [t["term"]])])), F.lit(t["term"])) for t in terms]), lambda x: x.isNotNull())
+    of = lambda f: F.filter(F.array(*[F.when(F.arrays_overlap(f, F.array(*[F.lit(x) for x in t.get("triggers", [t["term"]])])), F.lit(t["term"])) for t in terms]), lambda x: x.isNotNull())
+    # A lambda's argument is evaluated once, however often its body uses it.
+    return F.get(F.transform(F.array(found), of), F.lit(0))
+
+
+def term_rows(units: DataFrame, keys: list[str], text: str, terms: list[dict]) -> DataFrame:
+    """keys, term: a row for each term that occurs in a unit, leftmost and longest first; the text is matched once."""
+    owner = {x: t["term"] for t in terms for x in t.get("triggers", [t["term"]])}
+    if len(owner) > ALTERNATION:
+        raise ValueError("use term_hits_many for a dictionary of this size")
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(alternation(list(owner))), F.lit(1)))
+    named = F.create_map(*[F.lit(v) for pair in owner.items() for v in pair])
+    return units.select(*keys, F.explode(F.array_distinct(F.transform(found, lambda x: F.element_at(named, x)))).alias("term"))
 
 
 def term_hits_many(units: DataFrame, key: str, text: str, terms: list[dict]) -> DataFrame:

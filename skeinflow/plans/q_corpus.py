@@ -129,9 +129,8 @@ SELECT block, ord, CASE WHEN asks = 1 THEN k::BIGINT END AS task_id FROM w WHERE
 
 
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = corpus.units(spark, sf_dir).select("group_id", terms.term_hits(F.col("source_text"), TERMS).alias("hits"))
-    per = u.select("group_id", F.explode("hits").alias("hit")).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("hit")), ",").alias("hits"))
-    return per
+    hits = terms.term_rows(corpus.units(spark, sf_dir), ["group_id"], "source_text", TERMS)
+    return hits.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("hits"))
 
 
 _TRIGGERS = ", ".join(f"('{x}', '{t['term']}')" for t in TERMS for x in t["triggers"])
@@ -167,10 +166,11 @@ SELECT verdict, count(*) AS n, min(candidate) AS first FROM v GROUP BY verdict""
 
 
 def english_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = corpus.units(spark, sf_dir)
-    runs = language.english_runs(F.col("source_text"))
+    # Behind a generator the runs are computed once.
+    u = corpus.units(spark, sf_dir).select("kind", F.explode(F.array(language.english_runs(F.col("source_text")))).alias("runs"))
+    runs = F.col("runs")
     return u.groupBy("kind").agg(
-        F.count_if(language.english_source(F.col("source_text"), 3, 12)).alias("admitted"),
+        F.count_if(language.admitted(runs, 3, 12)).alias("admitted"),
         F.sum(F.size(runs)).cast("long").alias("runs"),
         F.max(F.array_max(F.transform(runs, F.size))).cast("long").alias("longest_run"),
     )
@@ -288,8 +288,7 @@ SELECT path, state, count(*) AS n, max(group_id) FILTER (k = 1) AS first_group,
 
 def line_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which line of a text each term stands on."""
-    u = corpus.units(spark, sf_dir)
-    hit = u.select("kind", "ordinal", F.explode(terms.term_hits(F.col("source_text"), TERMS)).alias("term"))
+    hit = terms.term_rows(corpus.units(spark, sf_dir), ["kind", "ordinal"], "source_text", TERMS)
     return hit.groupBy("kind", "term").agg(F.min("ordinal").cast("long").alias("first_line"), F.count("*").alias("lines"))
 
 

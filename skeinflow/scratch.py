@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written here cuts the lineage: a lost executor costs a re-read, not a
-recomputation.  The folder is spark.checkpoint.dir; only where that is unset
-(tests, a single machine) a local one is made.
+recomputation.  The folder is spark.checkpoint.dir; where that is unset, a single
+machine makes a local one, and a cluster is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="skeinflow-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

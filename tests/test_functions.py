@@ -145,3 +145,10 @@ def test_strict_json(spark):
     assert one(spark, js.strict(F.lit('{"a":1,"a":2}')).isNull()) is True
     assert one(spark, js.closed_object(F.lit('{"b":1,"a":2}'), ["a", "b"])) is True
     assert one(spark, js.member_ordinal(F.lit('{"b":1,"a":2}'), F.lit("a"))) == 1
+
+
+def test_japanese_letters_by_range(spark):
+    letters = [0x3041, 0x3096, 0x309F, 0x30A1, 0x30FA, 0x30FF, 0x31F0, 0xFF66, 0xFF70, 0xFF9D, 0x3007, 0x3400, 0x9FFF, 0xFAFF, 0x2A6DF, 0x2EE5F, 0x2FA1F, 0x30000, 0x323AF]
+    others = [0x3005, 0x3040, 0x3097, 0x3099, 0x309E, 0x30A0, 0x30FB, 0x30FC, 0x30FE, 0xFF65, 0xFF9E, 0xFF9F, 0x2A6E0, 0x2EE60, 0x2FA20, 0x323B0, 0x41]
+    df = spark.createDataFrame([(c, chr(c)) for c in letters + others], "c int, s string")
+    assert {r["c"] for r in df.filter(language.japanese_source(F.col("s"))).collect()} == set(letters)

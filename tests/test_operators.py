@@ -28,6 +28,25 @@ def test_swap_keeps_nulls_apart(spark):
     assert sorted(r["k"] for r in conflicts.collect()) == [2, 9]
 
 
+def test_swap_gates(spark):
+    units = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, value string")
+    pending = spark.createDataFrame([(1, "a", "n", 0), (1, "a", "m", 1), (2, "b", "n", 2)], "k int, expected string, value string, ordinal int")
+    applied, conflicts = lifecycle.compare_and_swap(units, pending, ["k"], "value")
+    assert sorted(tuple(r) for r in applied.collect()) == [(1, "a"), (2, "n"), (3, "c")]
+    assert sorted(tuple(r) for r in conflicts.collect()) == [(1, 0), (1, 1)]
+    for seen, now, done in (("x", "x", 1), ("x", "y", 0), ("x", None, 0)):
+        digests = spark.createDataFrame([(seen, now)], "seen string, now string")
+        applied, conflicts = lifecycle.compare_and_swap(units, pending, ["k"], "value", digests)
+        assert applied.filter("value = 'n'").count() == done and conflicts.count() == 3 - done
+
+
+def test_terms_of_units(spark):
+    df = spark.createDataFrame([(1, "there then the"), (1, "the"), (3, None), (4, "other")], "k int, s string")
+    listed = [{"term": "the"}, {"term": "THERE", "triggers": ["there", "then"]}, {"term": "he"}]
+    got = sorted(tuple(r) for r in terms.term_rows(df, ["k"], "s", listed).collect())
+    assert got == [(1, "THERE"), (1, "the"), (1, "the"), (4, "the")]
+
+
 def test_nested_durations(spark):
     rows = [("r", i, e, i * 10) for i, e in enumerate(["start", "start", "stop", "stop", "start", "stop"])]
     df = spark.createDataFrame(rows, "run string, i int, e string, s int").withColumn("ts", F.timestamp_seconds("s"))
