@@ -1,14 +1,16 @@
 """Language identification: words first, then ever shorter character n-grams.
 
+A word is a run of letters and marks (Unicode categories L and M) that begins
+with a letter, of the lower-cased text, in training as in prediction.
 Training counts the words of a bounded, documented sample of labelled texts
 (``per_language`` whole texts for each language, chosen by a hash) and keeps
 each language's most frequent words with their log frequencies; the character
 n-grams come from those words.  A word of the model scores by its own log
-frequencies.  A word that the model doesn't know is scored by the mean over its
+frequencies; every labelled language takes part.  A word that the model doesn't know is scored by the mean over its
 n-grams of the greatest length of which it has any known one, from LONGEST down
 to 1, at a discount for each step back.
 
-Defined results: a null text or one without letters is ``und`` with score 0, as
+Defined results: a null text or one without letters (number signs are none) is ``und`` with score 0, as
 is everything if no text is labelled; a text of which nothing is known gets the
 most frequent language and its share; ties go to the more frequent language,
 then the smaller name; repeated rows and extra columns make no difference.
@@ -17,24 +19,34 @@ then the smaller name; repeated rows and extra columns make no difference.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .textarrays import slices
+
 PER_LANGUAGE = 3_000
 WORDS = 200_000
 GRAMS = 60_000
 LONGEST = 5
 DISCOUNT = 0.5
 KEPT = 200_000
-ROWS = 500
-LETTERS = re.compile(r"[^\W\d_]+")
-LETTERS_JAVA = r"[\p{L}\p{M}]+"
+#: Scores (words times languages) that are added up at once.
+AT_ONCE = 1 << 20
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ASCII_WORD = re.compile("[a-z]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    low = (text or "").lower()
+    return (ASCII_WORD if low.isascii() else WORD).findall(low)
 
 
 @dataclass
@@ -62,32 +74,66 @@ class Model:
                 return np.mean(found, axis=0) * DISCOUNT ** (len(self.grams) - n)
         return np.zeros(len(self.languages), np.float32)
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Score vectors of words, each computed once until the table is full."""
+    def places(self, words: list[str]) -> np.ndarray:
+        """Rows of the table of score vectors, to which new words are added."""
         if self._matrix is None or len(self._row) > KEPT + len(self.words):
             self._row = {w: i for i, w in enumerate(self.words)}
             self._matrix = np.zeros((len(self.words) + KEPT, len(self.languages)), np.float32)
             if self.words:
                 self._matrix[: len(self.words)] = np.stack(list(self.words.values()))
         row = self._row
-        for w in {w for w in words if w not in row}:
+        for w in sorted({w for w in words if w not in row}):
             if len(row) == len(self._matrix):
                 self._matrix = np.concatenate([self._matrix, np.zeros_like(self._matrix[:KEPT])])
             self._matrix[len(row)] = self.word(w)
             row[w] = len(row)
-        return self._matrix[[row[w] for w in words]]
+        return np.fromiter((row[w] for w in words), np.int64, len(words))
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums of the words' scores, by text and language."""
+        out = np.zeros((len(texts), len(self.languages)))
+        step = max(1, AT_ONCE // max(1, len(self.languages)))
+        flat = [w for words in texts for w in words]
+        ends = np.cumsum([len(words) for words in texts])
+        for at in range(0, len(flat), step):
+            where = self.places(flat[at : at + step])
+            part = self._matrix[where]
+            first = np.searchsorted(ends, at, side="right")
+            last = np.searchsorted(ends, at + len(part), side="left")
+            begin = np.maximum(np.concatenate([[0], ends])[first : last + 1] - at, 0)
+            stop = np.minimum(ends[first : last + 1] - at, len(part))
+            some = np.flatnonzero(stop > begin)
+            out[first + some] += np.add.reduceat(part, begin[some], axis=0, dtype=np.float64)
+        return out
+
+    def predictions(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        words = [words_of(t) for t in texts]
+        total = self.totals(words) if self.languages else np.zeros((len(texts), 1))
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        score, best, known = p.max(axis=1) / p.sum(axis=1), total.argmax(axis=1), total.any(axis=1)
+        langs, scores = [], []
+        for i, w in enumerate(words):
+            if not w or not self.languages:
+                langs.append("und")
+                scores.append(0.0)
+            else:
+                langs.append(self.languages[int(best[i])] if known[i] else self.languages[0])
+                scores.append(float(score[i]) if known[i] else float(self.share[0]))
+        return langs, scores
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.languages:
-            return "und", 0.0
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(words), 100_000):
-            total += self.rows(words[at : at + 100_000]).sum(axis=0, dtype=np.float64)
-        if not total.any():
-            return self.languages[0], float(self.share[0])
-        p = np.exp(total - total.max())
-        return self.languages[int(total.argmax())], float(p.max() / p.sum())
+        (lang,), (score,) = self.predictions([text])
+        return lang, score
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """l, w, n: how often the words of a slice of texts occur, by language."""
+    for batch in batches:
+        for first, last, _, _ in slices(batch.column("t")):
+            part = batch.slice(first, last - first)
+            count = Counter((lang, w) for lang, t in zip(part.column("l").to_pylist(), part.column("t").to_pylist()) for w in words_of(t))
+            langs, found = zip(*count) if count else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(list(count.values()), pa.int64())], names=["l", "w", "n"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,7 +151,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     share = np.array([r["n"] for r in counts], float)
     fractions = docs.sparkSession.createDataFrame([(r["l"], min(1.0, per_language / r["n"])) for r in counts], "l string, fraction double")
     sample = labelled.join(F.broadcast(fractions), "l").filter(F.pmod(F.xxhash64(F.col("d"), F.lit(7)), F.lit(1 << 20)) < F.col("fraction") * (1 << 20))
-    each = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS_JAVA), F.lit(0))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    each = sample.select("l", "t").mapInArrow(_counter, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     top = each.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= max(1, words // len(languages)))
     table = top.select("l", "w", "n").toPandas()
     index = {x: i for i, x in enumerate(languages)}
@@ -145,9 +191,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                langs, scores = zip(*[m.predict(t) for t in part.column("text").to_pylist()])
+            for first, last, _, _ in slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                langs, scores = m.predictions(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
