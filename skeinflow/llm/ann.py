@@ -14,8 +14,10 @@ for each query and task.  The heaps of all tasks are merged by query: a task
 sends k rows for each query at most.
 
 Defined results: null and zero vectors and vectors with null or non-finite
-components take no part; a vector's own id is no candidate of its query; ties
-go to the smaller id; repeated candidate rows count once for each distinct
+components take no part; every other vector does, however large or small (a
+pair whose bounds can't be told is computed; one whose product overflows both
+ways has no order and is left out); a vector's own id is no candidate of its query; ties
+go to the smaller id; of a query's several vectors the smallest is asked; repeated candidate rows count once for each distinct
 vector of an id; vectors of another length than the query are no candidates;
 empty tables give no rows.
 """
@@ -41,10 +43,23 @@ MERGE_FAN = 64
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(int8 rows as float32, scale, norm of what is lost, norm of what is kept) of rows of doubles."""
-    scale = np.abs(x).max(axis=1, keepdims=True) / 127.0
-    q = np.rint(x / scale)
-    kept = scale * q
-    return q.astype(np.int8), scale[:, 0], np.linalg.norm(x - kept, axis=1), np.linalg.norm(kept, axis=1)
+    most = np.abs(x).max(axis=1, keepdims=True)
+    # By a power of two, which is exact: rows of extreme size are quantised as rows between 0.5 and 1.
+    power = np.frexp(most)[1]
+    near = np.ldexp(x, -power)
+    step = np.ldexp(most, -power) / 127.0
+    q = np.rint(near / step)
+    kept = step * q
+    with np.errstate(over="ignore"):
+        back = lambda v: np.ldexp(v, power[:, 0])
+        return q.astype(np.int8), back(step[:, 0]), back(np.linalg.norm(near - kept, axis=1)), back(np.linalg.norm(kept, axis=1))
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    """Norms of rows of any size."""
+    power = np.frexp(np.abs(x).max(axis=1))[1]
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.linalg.norm(np.ldexp(x, -power[:, None]), axis=1), power)
 
 
 def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,15 +81,17 @@ class Nearest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.q, self.scale, self.lost, self.kept = quantise(vectors)
-        self.norm = np.linalg.norm(vectors, axis=1)
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
         self.pairs = self.recomputed = 0
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         q, scale, lost, kept = quantise(x)
-        about = tile_product(self.q, q) * self.scale[:, None] * scale
-        error = self.lost[:, None] * np.linalg.norm(x, axis=1) + self.kept[:, None] * lost
-        error = error * (1 + 1e-9) + 1e-12 * (1 + np.abs(about))
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            about = tile_product(self.q, q) * self.scale[:, None] * scale
+            error = self.lost[:, None] * norms(x) + self.kept[:, None] * lost
+            error = error * (1 + 1e-9) + 1e-12 * np.abs(about) + np.finfo(float).tiny * (1 + q.shape[1])
+            clear = np.isfinite(about) & np.isfinite(error)
+            about, error = np.where(clear, about, 0.0), np.where(clear, error, np.inf)
         mine = self.ids[:, None] == ids
         low = np.where(mine, -np.inf, about - error)
         k = min(self.k, low.shape[1])
@@ -89,6 +106,8 @@ class Nearest:
             js = np.flatnonzero(alive[i])
             heap = self.heaps[i]
             for s, c in zip(exact(self.vectors[i], x[js]), ids[js].tolist()):
+                if s != s:
+                    continue
                 if len(heap) < self.k:
                     if (s, -c) not in heap:
                         heapq.heappush(heap, (s, -c))
@@ -98,7 +117,8 @@ class Nearest:
 
 def exact(query: np.ndarray, rows: np.ndarray) -> list[float]:
     """Inner products in double precision, each summed by itself in order of the components, whatever rows stand beside it."""
-    return np.cumsum(rows * query, axis=1)[:, -1].tolist()
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        return np.cumsum(rows * query, axis=1)[:, -1].tolist()
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str = "vec_id", embedding: str = "embedding", wave: int = WAVE, tile: int = TILE) -> DataFrame:
@@ -106,7 +126,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
     spark = vectors.sparkSession
     pick = lambda df: df.filter(usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("i"), F.col(embedding).cast("array<double>").alias("v"))
     rows = pick(vectors)
-    asked = pick(queries).dropDuplicates(["i"])
+    # Of several vectors of a query's id the smallest is asked, whatever the order of rows.
+    asked = pick(queries).groupBy("i").agg(F.min("v").alias("v"))
     n = asked.count()
     waves = max(1, -(-n // wave))
     if waves > 1:
