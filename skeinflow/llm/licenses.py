@@ -75,7 +75,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit_name", "mit_grant", "mit_notice", "as_is")),
     ("MIT", ("mit_grant", "mit_notice", "as_is")),
     ("MIT", ("mit_grant", "mit_notice")),
+    ("BSD-3-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_name")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_name")),
+    ("BSD-2-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("Apache-2.0", ("apache_the_license", "apache_comply", "apache_copy")),
     ("Apache-2.0", ("apache_header", "apache_comply", "apache_copy")),
