@@ -1,8 +1,9 @@
 """Benchmark decontamination with a broadcast set of normalised test n-grams.
 
 The test items' word windows form a table that is as large as the benchmark,
-not the corpus; it is broadcast only after its rows have been counted, and
-joined by a shuffle beyond ``broadcast_limit``.  Training texts are cut into
+not the corpus; it is written once, broadcast only after its rows and bytes have
+been counted, and joined by a shuffle beyond ``broadcast_limit`` rows or
+BROADCAST_BYTES.  Training texts are cut into
 chunks of words (so that one long text is many small rows), every window of a
 chunk is compared with the set by its whole string, which verifies a hit at
 once, and only hits are grouped.
@@ -18,9 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 WINDOW = 10
 CHUNK_WORDS = 256
 BROADCAST_LIMIT = 500_000
+BROADCAST_BYTES = 128 << 20
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -63,11 +67,13 @@ def _key(doc_id: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__fp")]
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_limit: int = BROADCAST_LIMIT, item_text: str = "text") -> DataFrame:
     """__doc, __fp, spans array<struct<start, length>> (sorted, distinct), items: one row for each text with hits."""
-    grams = item_grams(benchmark, window, text=text)
-    lengths = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    if sum(lengths.values()) <= broadcast_limit:
+    grams = scratch.keep(item_grams(benchmark, window, text=item_text), "item-grams")
+    size = F.sum(F.octet_length("gram") + F.octet_length(F.array_join("items", " ")) + F.lit(24) * F.size("items"))
+    counted = grams.groupBy("length").agg(F.count("*").alias("n"), size.alias("bytes")).collect()  # at most `window` rows
+    lengths = {r["length"]: r["n"] for r in counted}
+    if sum(lengths.values()) <= broadcast_limit and sum(r["bytes"] for r in counted) <= BROADCAST_BYTES:
         grams = F.broadcast(grams)
     source = docs.select(*_key(doc_id, text), words(F.col(text)).alias("w"))
     found = None
@@ -100,9 +106,9 @@ def _joined(docs: DataFrame, hits: DataFrame, how: str) -> DataFrame:
     return docs.join(hits, docs["__doc"].eqNullSafe(hits["__doc"]) & docs["__fp"].eqNullSafe(hits["__fp"]), how)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_limit: int = BROADCAST_LIMIT, item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated for every document."""
-    hits = spans(docs, benchmark, window, doc_id, text, broadcast_limit)
+    hits = spans(docs, benchmark, window, doc_id, text, broadcast_limit, item_text)
     every = docs.select(*_key(doc_id, text), count_words(F.col(text)).alias("n_words"))
     hits = hits.select(F.col("__doc").alias("__d"), F.col("__fp").alias("__f"), covered(F.col("spans")).alias("hit"), F.col("items").alias("its"))
     return every.join(hits, every["__doc"].eqNullSafe(hits["__d"]) & every["__fp"].eqNullSafe(hits["__f"]), "left").select(
@@ -115,10 +121,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """The documents without those that hold a window of an item, or (``remove="spans"``) with the hit words and what separates them from the word before cut out."""
     columns = docs.columns
-    hits = spans(docs, benchmark, window, doc_id, text)
+    hits = spans(docs, benchmark, window, doc_id, text, item_text=item_text)
     keyed = docs.withColumns({"__doc": F.col(doc_id), "__fp": F.xxhash64(F.col(text))})
     if remove == "documents":
         hits = hits.select(F.col("__doc").alias("__d"), F.col("__fp").alias("__f"))

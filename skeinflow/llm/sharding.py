@@ -10,7 +10,8 @@ more bits.  What is joined back to the rows is one row per shard.
 Defined results: a null key hashes as an empty string and a null text has no
 bytes; rows with one and the same hash can't be told apart and stay in one
 shard, marked ``oversized`` if they exceed the limit, as is a single row above
-it; an empty table has no shards.
+it; an empty table has no shards; columns of the rows that have the name of an
+added one get ``_own`` after it.
 """
 
 from __future__ import annotations
@@ -80,11 +81,12 @@ def assign(docs: DataFrame, shards: DataFrame, key: str = "doc_id", broadcast_li
         named = F.broadcast(named)
     tried = F.array(*[F.lit(d) for d in sorted(d["depth"] for d in depths)]).cast("array<int>")
     probes = docs.withColumn("__h", place(F.col(key))).withColumn("__d", F.explode(tried))
+    names = {"shard": "__shard", "depth": "__depth", "shard_bytes": "__bytes", "shard_rows": "__rows", "oversized": "__over"}
     joined = probes.join(named, (F.col("__d") == F.col("__depth")) & (_prefix(F.col("__h"), F.col("__d")) == F.col("__prefix")))
-    return joined.select(*[probes[c] for c in docs.columns], *[F.col(f"__{c}").alias(n) for c, n in (("shard", "shard"), ("depth", "depth"), ("bytes", "shard_bytes"), ("rows", "shard_rows"), ("over", "oversized"))])
+    return joined.select(*[probes[c].alias(f"{c}_own" if c in names else c) for c in docs.columns], *[F.col(c).alias(n) for n, c in names.items()])
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES, key: str = "doc_id", text: str = "text") -> None:
     """One Parquet folder ``shard=<bits>`` for each shard."""
     placed = assign(docs, directory(docs, max_bytes, key, text), key)
-    placed.select(*docs.columns, F.concat(F.lit("b"), F.col("shard")).alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    placed.drop("depth", "shard_bytes", "shard_rows", "oversized").withColumn("shard", F.concat(F.lit("b"), F.col("shard"))).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -90,6 +91,14 @@ def test_decontaminate_edges(spark, edge, nothing):
     assert {r["doc_id"]: r["text"] for r in cut}[9] == rows[9][1]
 
 
+def test_decontaminate_other_columns(spark, edge):
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, body string")
+    docs = edge.withColumnRenamed("text", "content")
+    got = decontaminate.report(docs, bench, text="content", item_text="body").filter("contaminated").select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == {7, 8}
+    assert decontaminate.decontaminate(docs, bench, text="content", item_text="body").count() == len(edge_rows()) - 2
+
+
 def test_decontaminate_without_broadcast(spark, edge):
     bench = spark.createDataFrame([(1, "one two")], BENCH)
     a = decontaminate.report(edge, bench, broadcast_limit=0).select("doc_id", "n_hit").collect()
@@ -323,6 +332,71 @@ def test_backoff_to_shorter_grams():
     assert m.predict("unseen!") == ("x", 0.6) and m.predict("12 !") == ("und", 0.0) and m.predict(None) == ("und", 0.0)
 
 
+def test_letters_and_marks():
+    m = langid.Model(["en", "hi"], np.array([0.6, 0.4]), {"हिन्दी": np.array([-3, 3], np.float32)}, [{}, {}, {}, {}, {}])
+    assert [m.predict(t)[0] for t in ("²½①", "Ⅷ ₂ 12", "_ \u0301", "हिन्दी ²", "Ünï")] == ["und", "und", "und", "hi", "en"]
+    assert langid.words_of("E\u0301té_9 हिन्दी a1b") == ["e\u0301té", "हिन्दी", "a", "b"]
+
+
+def brute_languages(taught, asked):
+    """The same model and scores with dictionaries and loops; all texts are in the sample, and no table is full."""
+    share = collections.Counter(lang for _, lang in taught)
+    langs = sorted(share, key=lambda x: (-share[x], x))
+    word = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+    count = collections.Counter((w, lang) for t, lang in taught for w in word(t))
+
+    def scores(counts):
+        keys = {k for k, _ in counts}
+        total = {x: sum(n for (_, y), n in counts.items() if x == y) for x in langs}
+        logs = {k: [math.log((counts[k, x] + 0.1) / (total[x] + 0.1 * len(keys))) for x in langs] for k in keys}
+        return {k: [v - sum(vs) / len(vs) for v in vs] for k, vs in logs.items()}
+
+    tables = [scores(count)]
+    for k in range(1, 6):
+        grams = collections.Counter()
+        for (w, x), n in count.items():
+            for i in range(len(w) + 3 - k):
+                grams[f"<{w}>"[i : i + k], x] += n
+        tables.append(scores(grams))
+
+    def of(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for k in range(5, 0, -1):
+            found = [tables[k][g] for i in range(len(w) + 3 - k) if (g := f"<{w}>"[i : i + k]) in tables[k]]
+            if found:
+                return [sum(v) / len(found) * 0.5 ** (5 - k) for v in zip(*found)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in asked:
+        total = [sum(v) for v in zip(*map(of, word(t)))] if word(t) else None
+        if total is None:
+            out.append(("und", 0.0))
+        elif not any(total):
+            out.append((langs[0], share[langs[0]] / len(taught)))
+        else:
+            p = [math.exp(v - max(total)) for v in total]
+            out.append((langs[total.index(max(total))], max(p) / sum(p)))
+    return out
+
+
+def test_languages_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "AT_ONCE", 30)  # a text's words are added up in several parts
+    rng = random.Random(3)
+    stems = {"aa": ["ba", "lo", "mi", "né"], "bb": ["sk", "or", "ty", "øn"], "cc": ["ba", "or", "zu", "é"]}
+    text = lambda x, n: " ".join("".join(rng.choice(stems[x]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    taught = [(text(x, 12), x) for x in ("aa", "bb", "cc", "aa", "bb", "aa") for _ in range(4)]
+    asked = [text(rng.choice(list(stems)), rng.randrange(9)) for _ in range(40)] + ["", "12 ²", "qqq www", "Ba LO"]
+    model = langid.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(taught)], "doc_id long, text string, lang string").repartition(3))
+    rows = langid.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    got = [(r["lang_pred"], r["score"]) for r in sorted(rows)]
+    want = brute_languages(taught, asked)
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-4)
+    langs, scores = model.predictions(asked)  # here AT_ONCE holds
+    assert langs == [x for x, _ in want] and np.allclose(scores, [s for _, s in want], atol=1e-4)
+
+
 def test_more_languages_than_a_thousand(spark):
     df = spark.createDataFrame([(i, "same" + "".join(chr(97 + int(c)) for c in str(i)), f"l{i}") for i in range(1003)], "doc_id long, text string, lang string")
     model = langid.train(df)
@@ -408,6 +482,10 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 500)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
     assert len(list((tmp_path / "out").glob("shard=*"))) >= 4
+    own = df.withColumns({"shard": F.lit("mine"), "depth": F.lit(7)})
+    sharding.write_shards(own, str(tmp_path / "own"), 500)
+    back = spark.read.parquet(str(tmp_path / "own"))
+    assert sorted(back.columns) == ["depth_own", "doc_id", "shard", "shard_own", "text"] and back.filter("shard_own = 'mine' and depth_own = 7").count() == 40
 
 
 # --- 8 ---------------------------------------------------------------------
@@ -542,6 +620,27 @@ def test_nearest_repeated_and_empty(spark):
     assert ann.search(df.filter("vec_id = 20"), df.filter("vec_id = 20")).count() == 0
 
 
+def test_nearest_of_extreme_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=5) * s).tolist()) for i, s in enumerate([1e160, 1e-322, 1e-200, 1.0, 1e300, 1e154] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(dict)
+    for r in ann.search(df, df.filter("vec_id % 20 = 0"), k=7, tile=8).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    vectors = {i: np.array(v) for i, v in rows}
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        for q in (0, 20, 40):
+            scores = {i: float(np.cumsum(vectors[q] * v)[-1]) for i, v in vectors.items() if i != q}
+            fine = {i: s for i, s in scores.items() if not math.isnan(s)}
+            want = sorted(fine, key=lambda i: (-fine[i], i))[:7]
+            assert [got[q][r + 1] for r in range(7)] == [(i, fine[i]) for i in want]
+
+
+def test_nearest_of_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in sorted(ann.search(df, df.filter("vec_id = 0"), k=2).collect(), key=lambda r: r["rank"])] == [(2, 5.0), (1, 1.0)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(40, 33)), rng.normal(size=(50, 33)) * 7
@@ -635,6 +734,9 @@ copyright notice and this permission notice appear in all copies.
         15: ("Released under the. MIT License", []),
         16: ("SPDX-License-Identifier: MIT-0\n", []),
         17: (bsd.replace("2. ", "Another sentence. 2. "), []),
+        19: ("Copyright (c) 2001, A. Person\nAll rights reserved.\n\n" + bsd, ["BSD-3-Clause"]),
+        20: (comment("Copyright 2001 X. All rights reserved.\n\n" + bsd[: bsd.index("3.")]), ["BSD-2-Clause"]),
+        21: (bsd[: bsd.index("3.")].replace("1. ", "* ").replace("2. ", "* "), ["BSD-2-Clause"]),
         18: ("! " * 50_000 + "\n" + "1. " * 50_000 + "\r\n" * 50_000 + "Released under the MIT License!" + " \t" * 50_000, ["MIT"]),
     }
     df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
