@@ -49,7 +49,7 @@ BLOCK = 4_000
 SALT_ROWS = 4_000
 FILTER_BITS = 1 << 24
 #: Rounds in which each group's likeliest partner of each list is compared.
-GROWING = 3
+GROWING = 2
 #: Then: pairs of two groups that are compared before the groups are looked at again; None: all.
 ROUNDS = (1, 16, None)
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .textarrays import ALNUM_WORD, SPACE_WORD, Words, mix, slices, span_hashes
+from .textarrays import ALNUM_WORD, SPACE_WORD, Words, mix, release_memory, slices, span_hashes
 
 LABELLED, POOL = 4_000, 1_000
 LEXICON = 20_000
@@ -245,6 +245,7 @@ def cotrain(row: np.ndarray, key: np.ndarray, ratios: np.ndarray, meta: list[tup
     n, faults = len(ratios), y.shape[1]
     keys, code = np.unique(key, return_inverse=True)
     code = code.astype(np.int32)
+    del key
     calibrating = labelled & (fold == 0)
     train = labelled & ~calibrating
     if not calibrating.any() or not train.any():
@@ -347,7 +348,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ratios = order.column("ratios").combine_chunks().flatten().to_numpy().reshape(len(has), RATIOS)
     y = np.column_stack([[v or 0 for v in low], [v or 0 for v in toxic]]).astype(float)
     fold = np.arange(len(has)) % FOLDS
-    return cotrain(row, key, ratios, meta, y, has, fold)
+    model = cotrain(row, key, ratios, meta, y, has, fold)
+    del row, key, ratios, order
+    release_memory()  # the driver goes on to other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:

@@ -9,6 +9,8 @@ words are hashed in blocks of that size all the same.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +86,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release_memory() -> None:
+    """Give memory that is free again back to the system, which the allocators keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets into the bytes) of runs of rows of at most ``limit`` bytes; null is an empty text."""
     if isinstance(text, pa.ChunkedArray):
