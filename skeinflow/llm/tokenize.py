@@ -20,7 +20,7 @@ import numpy as np
 #: \S leaves out more characters than the vocabulary's patterns call white space, never fewer.
 CUT = re.compile(r" (?=\S)(?<=\S )")
 #: Chunks whose ids a worker keeps, and the longest of them.
-KEPT, LONGEST = 250_000, 64
+KEPT, LONGEST = 600_000, 64
 
 
 class Encoder:
