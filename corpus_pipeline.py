@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet to the shared folder and gives it to the next stage.
 All but the last return the columns of ``documents``; n_chars follows the text
 where a stage changes it.  Empty inputs give empty results at every stage.
+
+Nulls, ties and repeated rows: a null text is an empty one to the classifier
+and the packer and stays null; it is near nothing, repeats nothing and holds no
+benchmark passage.  Null ids, sources and languages are values of their own.
+Repeated rows (equal id and text) are judged alike: all go or all stay, the near
+duplicates' stage included, which drops rows whose group has a smaller id.  Of
+rows that share an id with other texts none counts as earlier.
 """
 
 from __future__ import annotations
