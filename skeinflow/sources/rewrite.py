@@ -2,14 +2,16 @@
 
 Extract rules select strings by file and path; a pattern on a rule cuts a
 string into literal and captured parts, of which the captures are units.
-Writing back puts new values at places, inside JSON strings too, and rebuilds
-event lists whose bodies have more lines than before.  A document is one row, so
+Writing back puts new values at places, inside JSON strings too, and leaves every
+other character of a document as it is (numbers keep their text, repeated keys
+are refused, any depth will do); other functions rebuild event lists whose bodies have more lines than before.  A document is one row, so
 documents are rewritten side by side.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,6 +67,9 @@ def select(docs: DataFrame, rules: list[dict]) -> DataFrame:
                 except (TypeError, ValueError):
                     out.append((None, file, None, None, None, "not JSON"))
                     continue
+                except RecursionError:
+                    out.append((None, file, None, None, None, "nested too deep"))
+                    continue
                 for n, r in enumerate(rules, 1):
                     if r["file"] != file:
                         continue
@@ -107,6 +112,71 @@ def _holder(value, where: list):
     return value, where[-1]
 
 
+#: A token of JSON after white space: mark, string, number or word.
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
+
+
+def edited(content: str, changes: dict[tuple, str]) -> str:
+    """A JSON text with the strings at places changed, and nothing else; "@json" in a place opens the JSON string there."""
+    whole = {place: text for place, text in changes.items() if "@json" not in place}
+    inside: dict[tuple, dict[tuple, str]] = {}
+    for place, text in changes.items():
+        if "@json" in place:
+            i = place.index("@json")
+            inside.setdefault(place[:i], {})[place[i + 1 :]] = text
+    if whole.keys() & inside.keys():
+        raise RuleError("a string is changed as a whole and inside")
+    left = {*whole, *inside}
+    ends = {(len(place), place[-1] if place else None) for place in left}
+    out: list[str] = []
+    copied = at = 0
+    # A frame's keys so far (None: a list), and where the walk stands in it.
+    frames: list[set | None] = []
+    path: list = []
+    state = "value"
+    while match := _TOKEN.match(content, at):
+        mark, string, number, word = match.groups()
+        at = match.end()
+        if state in ("value", "first") and mark not in ("}", "]", ",", ":"):
+            here = tuple(path) if (len(path), path[-1] if path else None) in ends else None
+            if here is not None and here in left:
+                if string is None:
+                    raise RuleError(f"no string at {list(here)}")
+                new = whole[here] if here in whole else edited(json.loads(string), inside[here])
+                out += [content[copied : match.start(2)], json.dumps(new, ensure_ascii=False)]
+                copied = at
+                left.discard(here)
+            if mark:
+                frames.append(set() if mark == "{" else None)
+                path.append("" if mark == "{" else 0)
+                state = "first key" if mark == "{" else "first"
+            else:
+                state = "end"
+        elif state in ("key", "first key") and string is not None:
+            key = json.loads(string)
+            if key in frames[-1]:
+                raise RuleError(f"repeated key: {key}")
+            frames[-1].add(key)
+            path[-1], state = key, "colon"
+        elif state == "colon" and mark == ":":
+            state = "value"
+        elif state == "end" and frames and mark == ",":
+            if frames[-1] is None:
+                path[-1] += 1
+            state = "value" if frames[-1] is None else "key"
+        elif frames and (mark == "]" and frames[-1] is None and state in ("first", "end") or mark == "}" and frames[-1] is not None and state in ("first key", "end")):
+            frames.pop()
+            path.pop()
+            state = "end"
+        else:
+            raise ValueError(f"unexpected at character {match.start()}")
+    if state != "end" or frames or content[at:].strip(" \t\n\r"):
+        raise ValueError(f"unexpected at character {at}")
+    if left:
+        raise LookupError(f"nothing at {sorted(map(str, left))[0]}")
+    return "".join([*out, content[copied:]])
+
+
 def rebuild_runs(commands: list[dict], bodies: dict[int, list[str]], line: int) -> list[dict]:
     """An event list with new bodies: head index -> lines.  Added lines copy the body's last one, missing ones go."""
     out, i = [], 0
@@ -133,10 +203,11 @@ def rewritten(docs: DataFrame, mutations: DataFrame) -> DataFrame:
         out = []
         for file, content in zip(pdf["file"], pdf["content"]):
             try:
-                value = json.loads(content)
-                for place, text in sorted(zip(changes["place"], changes["text"]), key=lambda c: -len(c[0])):
-                    put(value, json.loads(place), text)
-                out.append((file, json.dumps(value, ensure_ascii=False, separators=(",", ":")) if len(changes) else content, None))
+                asked: dict[tuple, str] = {}
+                for place, text in zip(changes["place"], changes["text"]):
+                    if asked.setdefault(tuple(json.loads(place)), text) != text:
+                        raise RuleError(f"two texts for {place}")
+                out.append((file, edited(content, asked), None))
             except (RuleError, ValueError, LookupError, TypeError) as error:
                 out.append((file, content, f"{type(error).__name__}: {error}"))
         return pd.DataFrame(out, columns=["file", "content", "problem"])

@@ -43,6 +43,29 @@ def test_select_and_write_back(spark):
     assert done["b.json"][0] == "{" and done["b.json"][1] and done["c.json"] == ("{}", None)
 
 
+def test_edits_change_nothing_else():
+    text = '{ "a":1.10,"b":1e400, "c" : 12345678901234567890.123,\n"s":"x\\u0041","l":[0,"y",{"k":"é"}],"e":{},"f":[] ,"j":"{\\"n\\":1.0,\\"t\\":\\"q\\"}" }'
+    got = rewrite.edited(text, {("s",): 'new "1"', ("l", 1): "Y", ("l", 2, "k"): "ö", ("j", "@json", "t"): "Q"})
+    assert got == text.replace('"x\\u0041"', '"new \\"1\\""').replace('"y"', '"Y"').replace("é", "ö").replace('\\"q\\"', '\\"Q\\"')
+    assert rewrite.edited(' "a" ', {(): "b"}) == ' "b" ' and rewrite.edited(text, {}) == text
+    for bad, error in (('{"k":1,"k":2}', RuleError), ("[1,]", ValueError), ('{"a" 1}', ValueError), ("[1] 2", ValueError), ("", ValueError), ("[01]", ValueError), ("{", ValueError), ("[1}", ValueError)):
+        with pytest.raises(error):
+            rewrite.edited(bad, {})
+    for place, error in ((("a",), RuleError), (("l",), RuleError), (("z",), LookupError), (("l", 9), LookupError)):
+        with pytest.raises(error):
+            rewrite.edited(text, {place: "x"})
+    deep = "[" * 100_000 + '"x"' + "]" * 100_000
+    assert rewrite.edited(deep, {(0,) * 100_000: "y"}) == deep.replace("x", "y")
+
+
+def test_two_texts_for_one_place(spark):
+    docs = spark.createDataFrame([("a", '{"t":"x","n":1.10}')], "file string, content string")
+    for texts, want in ((["y", "y"], ('{"t":"y","n":1.10}', True)), (["y", "z"], ('{"t":"x","n":1.10}', False))):
+        changes = spark.createDataFrame([("a", '["t"]', x) for x in texts], "file string, place string, text string")
+        (row,) = rewrite.rewritten(docs, changes).collect()
+        assert (row["content"], row["problem"] is None) == want
+
+
 def test_order_keys(spark):
     places = [["list", 2], ["list", 10], ["list", 2, "a"]]
     df = spark.createDataFrame([(json.dumps(p),) for p in places], "p string")
