@@ -143,4 +143,43 @@ FROM documents d LEFT JOIN {last} USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_shard": OP7_SQL, "op10_licenses": _op10_sql()}
+_WORDS_SQL = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS_SQL.format(_LOWER_SQL.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT d.doc_id, count(sh) AS n, md5(coalesce(string_agg(sh, '|' ORDER BY sh), '')) AS whole FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+f AS (SELECT whole, n, min(doc_id) AS first FROM n WHERE n > 0 GROUP BY 1, 2),
+k AS (SELECT first, f.n, sh, row_number() OVER (PARTITION BY first ORDER BY df, sh) AS pos
+      FROM f JOIN s ON doc_id = first JOIN (SELECT sh, count(*) AS df FROM s GROUP BY 1) USING (sh)),
+c AS (SELECT DISTINCT a.first AS a, a.n AS an, b.first AS b, b.n AS bn FROM k a JOIN k b ON a.sh = b.sh AND a.first < b.first
+      WHERE a.pos <= a.n - ceil(a.n * 0.9) + 1 AND b.pos <= b.n - ceil(b.n * 0.9) + 1 AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.sh = x.sh GROUP BY a, b, an, bn HAVING 100 * count(*) >= 90 * (an + bn - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT first AS a, first AS b FROM f UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(component_id, n.doc_id) AS component_id
+FROM n LEFT JOIN f ON f.whole = n.whole AND f.n = n.n LEFT JOIN g ON g.a = f.first
+"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, i, true AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS i FROM r)),
+k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept
+      FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) LEFT JOIN c USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {ann.NEAREST}
+"""
+
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_jaccard": OP3_SQL, "op7_shard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_nearest": OP9_SQL, "op10_licenses": _op10_sql()}
