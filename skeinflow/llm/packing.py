@@ -40,6 +40,8 @@ from .tokenize import encoder
 LENGTH = 2048
 END = 1
 LANE_TOKENS = 2_000_000
+#: Lanes whose totals are summed in one task.
+BLOCK_LANES = 4096
 #: A source is served at least so many tokens at once, so that texts aren't cut into shreds.
 MIN_SERVE = 256
 #: Tokens a byte, for the number of lanes only.
@@ -87,16 +89,33 @@ def deficits(tokens: DataFrame, weights: dict[str, float] | None = None) -> Data
         total = sum(weights.values())
         table = tokens.sparkSession.createDataFrame([(k, v / total) for k, v in weights.items()], "w string, weight double")
         shares = by_source.join(table, F.col("s").eqNullSafe(F.col("w")), "left").select("s", F.coalesce("weight", F.lit(0.0)).alias("share"))
-    # One row for each lane, that is for each few million tokens, and for each lane and source.
-    lanes = totals.groupBy(F.col("__lane").alias("lane")).agg(F.sum("n").alias("lane_n")).select("lane", F.sum("lane_n").over(W.orderBy("lane").rowsBetween(W.unboundedPreceding, -1)).alias("so_far"))
-    had = totals.select(F.col("__lane").alias("at"), F.col("__source").alias("of"), F.sum("n").over(W.partitionBy("__source").orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)).alias("had"))
+    lanes = before(totals.groupBy("__lane").agg(F.sum("n").alias("n")), []).select(F.col("__lane").alias("lane"), F.col("before").alias("so_far"))
+    had = before(totals, ["__source"]).select(F.col("__lane").alias("at"), F.col("__source").alias("of"), F.col("before").alias("had"))
     return (
         had.join(lanes, F.col("at") == F.col("lane"))
         .join(shares, F.col("of").eqNullSafe(F.col("s")))
-        .select(F.col("at").alias("__lane"), F.col("of").alias("__source"), "share", (F.col("share") * F.coalesce("so_far", F.lit(0)) - F.coalesce("had", F.lit(0))).alias("carried"))
+        .select(F.col("at").alias("__lane"), F.col("of").alias("__source"), "share", (F.col("share") * F.col("so_far") - F.col("had")).alias("carried"))
     )
 
 
+def before(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """totals (__lane, keys, n) with ``before``: the sum of n of the key's rows in smaller lanes.
+
+    Sums run within blocks of BLOCK_LANES lanes, and over the blocks' totals, so
+    that no task has more rows than a block, or than there are blocks.
+    """
+    block = F.floor(F.col("__lane") / F.lit(BLOCK_LANES)).cast("int")
+    sums = totals.groupBy(block.alias("b"), *[F.col(k).alias("of_" + k) for k in keys]).agg(F.sum("n").alias("sum"))
+    earlier = W.partitionBy(*["of_" + k for k in keys]).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).drop("sum")
+    inside = W.partitionBy("block", *keys).orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)
+    rows = totals.withColumn("block", block).withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    same = F.col("block") == F.col("b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("of_" + k))
+    return rows.join(sums, same).select("__lane", *keys, (F.col("base") + F.col("inside")).alias("before"))
+
+
 def schedule(queues: dict, share: dict, carried: dict, length: int = LENGTH, least: int = MIN_SERVE) -> Iterator[tuple[int, int, object, int, int, int]]:
     """(window, offset, source, document's place in its queue, start, tokens) by deficit round-robin; queues: source -> token counts."""
     deficit = {s: float(carried.get(s, 0.0)) for s in queues}
