@@ -2,11 +2,12 @@
 
 The test items' word windows form a table that is as large as the benchmark,
 not the corpus; it is written once, broadcast only after its rows and bytes have
-been counted, and joined by a shuffle beyond ``broadcast_limit`` rows or
-BROADCAST_BYTES.  Training texts are cut into
-chunks of words (so that one long text is many small rows), every window of a
-chunk is compared with the set by its whole string, which verifies a hit at
-once, and only hits are grouped.
+been counted.  Beyond ``broadcast_limit`` rows or BROADCAST_BYTES its 64-bit
+hashes are broadcast instead, HASH_LIMIT at once, and only windows whose hash is
+among them are shuffled to be compared.  Training texts are cut into chunks of
+words (so that one long text is many small rows) in one pass for all lengths of
+windows, every window is compared with the set by its whole string, which
+verifies a hit, and only hits are grouped.
 
 Defined results: null and empty texts have no words and no hits; an item with
 no words matches nothing; repeated rows each get the same result; the key of a
@@ -25,6 +26,8 @@ WINDOW = 10
 CHUNK_WORDS = 256
 BROADCAST_LIMIT = 500_000
 BROADCAST_BYTES = 128 << 20
+#: Hashes of windows that are broadcast at once, beyond the limits above.
+HASH_LIMIT = 4_000_000
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -67,24 +70,39 @@ def _key(doc_id: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("__doc"), F.xxhash64(F.col(text)).alias("__fp")]
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_limit: int = BROADCAST_LIMIT, item_text: str = "text") -> DataFrame:
+def _numbered(chunk: Column, length: int) -> Column:
+    """Structs of place and window for the windows of ``length`` words that start among a chunk's first CHUNK_WORDS words."""
+    last = F.least(F.lit(CHUNK_WORDS), F.size(chunk) - (length - 1))
+    made = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(chunk, i + 1, F.lit(length)), " ").alias("gram")))
+    return F.when(F.size(chunk) >= length, made).otherwise(F.array().cast("array<struct<i: int, gram: string>>"))
+
+
+def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_limit: int = BROADCAST_LIMIT, item_text: str = "text", hash_limit: int = HASH_LIMIT) -> DataFrame:
     """__doc, __fp, spans array<struct<start, length>> (sorted, distinct), items: one row for each text with hits."""
     grams = scratch.keep(item_grams(benchmark, window, text=item_text), "item-grams")
     size = F.sum(F.octet_length("gram") + F.octet_length(F.array_join("items", " ")) + F.lit(24) * F.size("items"))
     counted = grams.groupBy("length").agg(F.count("*").alias("n"), size.alias("bytes")).collect()  # at most `window` rows
-    lengths = {r["length"]: r["n"] for r in counted}
-    if sum(lengths.values()) <= broadcast_limit and sum(r["bytes"] for r in counted) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
+    lengths = sorted(r["length"] for r in counted) or [window]
+    n, size_ = sum(r["n"] for r in counted), sum(r["bytes"] for r in counted)
+    step, least, most = CHUNK_WORDS, lengths[0], lengths[-1]
     source = docs.select(*_key(doc_id, text), words(F.col(text)).alias("w"))
-    found = None
-    for length in sorted(lengths) or [window]:
-        step = CHUNK_WORDS
-        starts = F.when(F.size("w") >= length, F.sequence(F.lit(0), F.size("w") - length, F.lit(step)))
-        chunks = source.select("__doc", "__fp", F.posexplode(F.transform(starts, lambda s: F.slice("w", s + 1, F.lit(step + length - 1)))).alias("c", "chunk"))
-        rows = chunks.select("__doc", "__fp", (F.col("c") * step).alias("base"), F.posexplode(_windows(F.col("chunk"), length)).alias("i", "gram"))
-        hits = rows.join(grams.filter(F.col("length") == length), "gram").select("__doc", "__fp", (F.col("base") + F.col("i")).alias("start"), "length", "items")
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("__doc", "__fp").agg(
+    starts = F.when(F.size("w") >= least, F.sequence(F.lit(0), F.size("w") - least, F.lit(step)))
+    chunks = source.select("__doc", "__fp", F.posexplode(F.transform(starts, lambda s: F.slice("w", s + 1, F.lit(step + most - 1)))).alias("c", "chunk"))
+    made = [_numbered(F.col("chunk"), length) for length in lengths]
+    rows = chunks.select("__doc", "__fp", "c", F.inline(made[0] if len(made) == 1 else F.concat(*made))).select("__doc", "__fp", (F.col("c") * step + F.col("i")).alias("start"), "gram")
+    # Windows of different lengths differ in their number of words, so a window's string tells its length.
+    if n <= broadcast_limit and size_ <= BROADCAST_BYTES:
+        hits = rows.join(F.broadcast(grams), "gram")
+    else:
+        # The corpus is sifted by broadcast hashes, in blocks of a bounded size; only what passes is shuffled and compared by its string.
+        blocks = max(1, -(-n // hash_limit))
+        hashes = scratch.keep(grams.select(F.xxhash64("gram").alias("h")).distinct().withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int")), "gram-hashes")
+        hashed, passed = rows.withColumn("h", F.xxhash64("gram")), None
+        for block in range(blocks):
+            mine = hashed.join(F.broadcast(hashes.filter(F.col("block") == block).select("h")), "h", "left_semi").drop("h")
+            passed = mine if passed is None else passed.unionByName(mine)
+        hits = passed.join(grams, "gram")
+    return hits.groupBy("__doc", "__fp").agg(
         F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )

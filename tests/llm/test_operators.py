@@ -105,6 +105,14 @@ def test_decontaminate_without_broadcast(spark, edge):
     assert {r["doc_id"] for r in a if r["n_hit"]} == {7, 8}
 
 
+def test_decontaminate_in_blocks_of_hashes(spark, edge):
+    base = edge_rows()[0][1]
+    items = [(1, " ".join(base.split()[5:40])), (2, "TWO"), (3, "one two"), (4, " ".join(base.split()[300:315]))]
+    bench = spark.createDataFrame(items, BENCH)
+    rows = lambda **how: sorted(map(str, decontaminate.spans(edge, bench, **how).collect()))
+    assert rows() and rows() == rows(broadcast_limit=0, hash_limit=3) == rows(broadcast_limit=0)
+
+
 # --- 2 ---------------------------------------------------------------------
 
 
@@ -183,6 +191,18 @@ def test_schedule_keeps_proportions():
     assert done == total
 
 
+def test_sums_before_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_LANES", 4)
+    rng = np.random.default_rng(5)
+    rows = [(lane, s, int(rng.integers(1, 100))) for lane in range(23) for s in ("a", "b", None) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "__lane int, __source string, n long")
+    got = {(r["__lane"], r["__source"]): r["before"] for r in packing.before(df, ["__source"]).collect()}
+    assert got == {(lane, s): sum(n for at, of, n in rows if of == s and at < lane) for lane, s, _ in rows}
+    every = df.groupBy("__lane").agg(F.sum("n").alias("n"))
+    got = {r["__lane"]: r["before"] for r in packing.before(every, []).collect()}
+    assert got == {lane: sum(n for at, _, n in rows if at < lane) for lane, _, _ in rows}
+
+
 def test_lanes_carry_deficits(spark):
     rng = random.Random(1)
     rows = [(lane, s, rng.randrange(1, 50)) for lane in range(6) for s in ("a", "b", None) for _ in range(rng.randrange(0, 9))]
