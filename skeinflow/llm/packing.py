@@ -44,6 +44,8 @@ LANE_TOKENS = 2_000_000
 BLOCK_LANES = 4096
 #: A source is served at least so many tokens at once, so that texts aren't cut into shreds.
 MIN_SERVE = 256
+#: Bytes of text that are tokenised at once.
+SLICE_BYTES = 1 << 22
 #: Tokens a byte, for the number of lanes only.
 TOKENS_PER_BYTE = 0.45
 
@@ -54,11 +56,12 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(tokenizer), np.array([end], "<u4")
         for batch in batches:
-            for first, after, _, _ in slices(batch.column("text")):
+            for first, after, data, offsets in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(first, after - first)
                 n, wide, small = [], [], []
-                for ids in enc.batch([t or "" for t in part.column("text").to_pylist()]):
-                    ids = np.concatenate([ids, last])
+                found, at = enc.texts(data, offsets)
+                for i in range(len(part)):
+                    ids = np.concatenate([found[at[i] : at[i + 1]], last])
                     n.append(len(ids))
                     wide.append(int(ids.max()) > 0xFFFF)
                     small.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())

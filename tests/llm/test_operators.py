@@ -144,6 +144,35 @@ def test_ids_of_long_white_space():
         assert e.batch([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_at_cuts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(21)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    pieces = [*[" ", "\n"] * 8, *",.;:!?'", "a", "B", "it's", "12", "é", "日本", "×", "“", "…", "e\u0301", "<|endoftext|>", "<|end", "\r\n", *spaces]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokenize.Encoder(path).batch(texts)] == want
+    monkeypatch.setattr(tokenize, "BLOCK", 7)
+    monkeypatch.setattr(tokenize, "KEPT", 50)
+    assert [x.tolist() for x in tokenize.Encoder(path).batch(texts)] == want
+
+
+def test_words_before_marks_and_line_ends_are_encoded_once(monkeypatch):
+    given, whole = [], tokenize.Encoder.whole
+    monkeypatch.setattr(tokenize.Encoder, "whole", lambda self, texts: given.extend(texts) or whole(self, texts))
+    words = [f"w{i}" for i in range(200)]
+    texts = [f"x {w}{mark}{after}{w} {w}." for w in words for mark in ("", ",", ".", ";", "!") for after in (" ", "\n")]
+    path = tokenizer_file("byte_bpe_50k.json")
+    got = tokenize.Encoder(path).batch(texts)
+    # Each word after a space, after a line end and at a text's end; the texts' first word and the marks.
+    assert sum(map(len, given)) <= sum(3 * len(w) + 4 for w in words) + 20
+    monkeypatch.undo()
+    assert [x.tolist() for x in got] == [x.tolist() for x in tokenize.Encoder(path).whole(texts)]
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "c": 1.0}])
 def test_pack_round_trip(edge, weights):
     path = tokenizer_file("byte_bpe_50k.json")
