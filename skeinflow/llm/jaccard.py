@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..operators.components import connected_components
 from .textarrays import SPACE_WORD, Words, grams, mix, slices
+from .tokenize import forget
 
 COUNTERS = 1 << 21
 CHUNKS = 16
@@ -138,6 +139,7 @@ def _count_table(docs: DataFrame, k: int) -> np.ndarray:
     """How often shingles fall on each of COUNTERS counters, over all texts."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
@@ -165,6 +167,7 @@ def _indexer(sent, k: int, percent: int):
     """doc_id, n, node, and the prefix in order with the sketch (only where the set is the partition's first of its kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = sent.value
         seen: set[int] = set()
         for batch in batches:

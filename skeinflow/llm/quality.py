@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from .textarrays import ALNUM_WORD, SPACE_WORD, Words, mix, release_memory, slices, span_hashes
+from .tokenize import forget
 
 LABELLED, POOL = 4_000, 1_000
 LEXICON = 20_000
@@ -301,6 +302,7 @@ def distinct_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
@@ -370,6 +372,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", source: str
         return np.concatenate(parts) if parts else np.zeros((0, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             p = probabilities(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*batch.schema.names, "__low", "__toxic"])

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from .jaccard import in_bitmap
 from .textarrays import SPACE_WORD, Words, grams, mix, slices
+from .tokenize import forget
 
 WINDOW = 20
 ANCHOR = 8
@@ -135,6 +136,7 @@ def _set_aside(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 def _segmenter(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:

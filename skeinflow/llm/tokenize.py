@@ -21,6 +21,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
+from .textarrays import release_memory
+
 #: Chunks whose ids a worker keeps, and the most bytes of one of them.
 KEPT, LONGEST = 600_000, 64
 #: Chunks that are looked up at once.
@@ -153,3 +155,10 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Give back what this process's encoders keep; workers outlive their stage, and call this when they start other work on texts."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        release_memory()

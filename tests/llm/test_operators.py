@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,14 @@ def test_words_before_marks_and_line_ends_are_encoded_once(monkeypatch):
     assert [x.tolist() for x in got] == [x.tolist() for x in tokenize.Encoder(path).whole(texts)]
 
 
+def test_other_work_gives_back_what_the_encoder_keeps():
+    path = tokenizer_file("byte_bpe_50k.json")
+    for work in (quality._featurizer, repeats._segmenter(20), jaccard._indexer(SimpleNamespace(value=None), 5, 80)):
+        want = tokenize.encoder(path).batch(["a word, and a word"])[0].tolist()
+        assert list(work(iter([]))) == [] and tokenize.encoder.cache_info().currsize == 0
+        assert tokenize.encoder(path).batch(["a word, and a word"])[0].tolist() == want
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "c": 1.0}])
 def test_pack_round_trip(edge, weights):
     path = tokenizer_file("byte_bpe_50k.json")
