@@ -29,11 +29,20 @@ BROADCAST_BYTES = 128 << 20
 #: Hashes of windows that are broadcast at once, beyond the limits above.
 HASH_LIMIT = 4_000_000
 
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _listed(apart_from: str) -> str:
+    """The ASCII characters but some, one by one for a class: Java looks such a class up in one table, and tries ranges in turn."""
+    return "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in apart_from)
+
+
+#: Of lower-cased texts, and of texts as they are.
+_NOT_WORD = f"[{_listed('0123456789' + _LOWER)}]"
+_NOT_WORD_ANY = f"[{_listed('0123456789' + _LOWER + _UPPER)}]"
+_WORD = f"[^{_listed('0123456789' + _LOWER + _UPPER)}]"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; the fast built-in does it where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
@@ -157,5 +166,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     cut = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(left, ""), tail))
     return joined.withColumn(text, cut).select(*columns)
 
-
-_NOT_WORD_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"

@@ -114,6 +114,15 @@ def test_decontaminate_in_blocks_of_hashes(spark, edge):
     assert rows() and rows() == rows(broadcast_limit=0, hash_limit=3) == rows(broadcast_limit=0)
 
 
+def test_classes_of_word_characters_are_lists(spark):
+    texts = [f"a{c}B {c}{c}" for c in map(chr, [*range(0x180), 0x2028, 0x3000, 0xFFFD, 0x1F389])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", decontaminate.words(F.col("t")).alias("w"), decontaminate.count_words(F.col("t")).alias("n")).collect()
+    want = {i: WORD.findall(t.translate(LOW)) for i, t in enumerate(texts)}
+    assert {r["i"]: list(r["w"]) for r in rows} == want and {r["i"]: r["n"] for r in rows} == {i: len(w) for i, w in want.items()}
+    # Java tries ranges one after another at every character, which took most of the time.
+    assert "-" not in decontaminate._WORD + decontaminate._NOT_WORD + decontaminate._NOT_WORD_ANY
+
+
 # --- 2 ---------------------------------------------------------------------
 
 
